@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, forest, records, sharding
+from millrace.llm import audio, bpe, decontam, forest, records, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,15 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "offset", "length")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_hash")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_documents(spark, sf_dir)).drop("text_hash", "cluster")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -58,7 +67,7 @@ SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id, doc_id = com
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries."""
-    return {f.__name__: f for f in (op1_audio_features, op4_byte_bpe, op6_token_records, op9_sharding, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_audio_features, op4_byte_bpe, op6_token_records, op7_decontamination, op8_substring_dedup, op9_sharding, op10_minhash_forest)}
 
 
 def oracle_sql() -> dict[str, str]:

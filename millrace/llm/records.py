@@ -4,8 +4,8 @@ A record is a frame around one serialized sequence:
 
     u64 length | u32 masked checksum of the length | payload | u32 masked checksum of the payload | 0x0A
 
-all little-endian.  The payload is a flag byte (1: the document has an id), the id as i64,
-and the token ids as u32.  A checksum is CRC-32 rotated right by 15 bits plus a constant, so
+all little-endian.  The payload is the width of an id in bytes (2 for a vocabulary of up to
+65,536, else 4; plus 128 if the document has an id), the id as i64, and the token ids.  A checksum is CRC-32 rotated right by 15 bits plus a constant, so
 that a checksum over data that holds checksums stays sound.  The closing line feed lets
 Spark's own text writer, with its commit protocol and any file system, write the frames.
 
@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,7 @@ from millrace.sources.scratch import input_bytes, scratch_dir
 #: Text of a file of records, and words remembered by a worker.
 FILE_BYTES, WORDS = 64 << 20, 300_000
 _ODD = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def masked(data: bytes) -> int:
@@ -66,15 +68,35 @@ def read_frame(data: bytes, at: int) -> tuple[bytes, int]:
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     """Document id and token ids of a payload."""
-    return (struct.unpack_from("<q", payload, 1)[0] if payload[0] else None), np.frombuffer(payload, "<u4", offset=9)
+    return (struct.unpack_from("<q", payload, 1)[0] if payload[0] & 128 else None), np.frombuffer(payload, f"<u{payload[0] & 127}", offset=9).astype("<u4")
+
+
+class _Recent(dict):
+    """A memo of bounded size: when it is full it becomes the older half, of which used entries come back."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
-    """The tokenizers library behind a memo of words.
+    """The tokenizers library behind memos of words and of their letters.
 
     The tokenizer turns runs of white space into one space, which belongs to no token, so the
-    ids of a text are those of its words one after another.  A text with the four separators
-    that Python alone takes for white space goes to the library whole.
+    ids of a text are those of its words one after another; a text with the four separators
+    that Python alone takes for white space goes to the library whole.  It also cuts between
+    letters and ASCII punctuation (but for the apostrophe), so a word of Latin letters with
+    punctuation behind is two lookups.
     """
 
     def __init__(self, path: str):
@@ -83,22 +105,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        split = [None if _ODD.search(x) else x.split() for x in texts]
-        new = list({w for ws in split if ws for w in ws if w not in memo})
-        if len(memo) + len(new) > WORDS:
-            memo.clear()
-            new = list({w for ws in split if ws for w in ws})
-        for k in range(0, len(new), 20_000):
-            memo.update(zip(new[k : k + 20_000], self._ids(new[k : k + 20_000])))
-        return [self._ids([x])[0] if ws is None else b"".join(map(memo.__getitem__, ws)) for x, ws in zip(texts, split)]
+        self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.words = _Recent(self._word, WORDS)
+        self.letters = _Recent(self._letters, WORDS)
+        self.rest = _Recent(self.whole, 10_000)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text, all by the library."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, lower: str) -> bytes:
+        if lower.isascii():  # one match of the tokenizer's pattern, and bytes that stand for themselves
+            return array(self.code, [x.id for x in self.model.tokenize(lower)]).tobytes()
+        return self.whole(lower)
+
+    def _word(self, word: str) -> bytes:
+        m = _PLAIN(word)
+        if m is None:
+            return self.whole(word)
+        ids = self.letters[m[1].lower()]
+        return ids + self.rest[m[2]] if m[2] else ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
+        if _ODD.search(text):
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -117,12 +151,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> Non
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, last = encoder(tokenizer), struct.pack("<I", end_id)
+        e = encoder(tokenizer)
+        last = array(e.code, [end_id]).tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                codes = e.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<Bq", d is not None, d or 0) + c + last) for d, c in zip(part.column(0).to_pylist(), codes)], pa.binary())], names=["value"])
+                rows = [frame(struct.pack("<Bq", e.width | 128 * (d is not None), d or 0) + e.encode(x) + last) for d, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     frames = ordered.repartitionByRange(files, *key).sortWithinPartitions(*key).mapInArrow(run, "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(out)
