@@ -11,9 +11,18 @@ from pyspark.sql import SparkSession
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Rows of a batch between the JVM and Python: documents are long, and both sides hold a batch or two.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package to the Python path of the session's executors, once a context."""
+    """Add the package to the Python path of the session's executors, once a context.
+
+    A session that leaves the batch size at Spark's default gets a smaller one.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_millrace_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "millrace.zip")
