@@ -200,7 +200,9 @@ class Items:
         return out
 
 
-_samples = lru_cache(maxsize=4096)(samples)
+@lru_cache(maxsize=4096)
+def _samples(steps: int, k: int) -> np.ndarray:
+    return samples(steps, k)
 
 
 def prefix_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -218,7 +220,10 @@ def prefix_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(row[at]), at
 
 
-_embedded = lru_cache(maxsize=2)(Items)
+@lru_cache(maxsize=2)
+def _embedded(items: tuple, similarity: float) -> Items:
+    """One embedding a worker process."""
+    return Items(items, similarity)
 
 
 def _places(embedded: Items, ids: list, hashes: list, texts: list) -> list[tuple]:
