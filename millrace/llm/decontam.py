@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._text import mix, ngram_hashes, word_hashes, words
+from millrace.sources.scratch import join_keys, materialize
 
 SIMILARITY, MIN_WORDS, BROADCAST_ITEMS = 0.8, 8, 20_000
 WALKS, SETS, BITS = 8, 6, 5
@@ -284,6 +285,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without a benchmark item; rows with null ids are judged by their text alone."""
-    hit = contaminated(docs, benchmark, key, text, **options).select("text_hash").distinct()
-    names = docs.columns
-    return docs.withColumn("__th", F.xxhash64(text)).join(hit.withColumnRenamed("text_hash", "__th"), "__th", "left_anti").select(*[f"`{c}`" for c in names])
+    hit = materialize(contaminated(docs, benchmark, key, text, **options).select(F.col("text_hash").alias("__th")).distinct(), "hits")
+    return join_keys(docs.withColumn("__th", F.xxhash64(text)), hit, ["__th"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

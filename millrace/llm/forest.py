@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm._text import shingle_set, words
 from millrace.operators.components import connected_components
-from millrace.sources.scratch import drop, materialize
+from millrace.sources.scratch import drop, join_keys, materialize
 
 TREES, DEPTH, LEAST, REACH = 12, 8, 2, 4
 SHINGLE, NUMERATOR, HUBS = 5, 85, 3
-#: Classes whose texts may be found by a broadcast of their ids, and partners of a centre in one salt.
-BROADCAST_IDS, SALT = 500_000, 256
+#: Partners of a centre in one salt.
+SALT = 256
 
 _R = np.random.default_rng(85)
 _A = (_R.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -150,8 +150,7 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame, kernel, schema: str, payloa
     per = pairs.groupBy("a", "ath").count().select("a", "ath", F.ceil(F.col("count") / SALT).cast("int").alias("salts"))
     centres = per.select("a", "ath", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     ids = pairs.select(F.col("a").alias("id"), F.col("ath").alias("th")).union(pairs.select("b", "bth")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select("id", "th", "text").join(F.broadcast(ids) if small else ids, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    texts = join_keys(docs.select("id", "th", "text"), ids, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     texts = materialize(texts, "texts")
     salted = pairs.join(per, ["a", "ath"]).withColumn("salt", F.pmod(F.xxhash64("b", "bth"), F.col("salts")).cast("int"))
     members = salted.join(texts.select(F.col("id").alias("b"), F.col("th").alias("bth"), "text"), ["b", "bth"]).select("a", "ath", "salt", F.lit(1).alias("kind"), "b", "bth", "text", *extra)
@@ -247,6 +246,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR) -> DataFrame:
+    """The documents without those that a link leads from to a smaller id; one row an id stays.
+
+    Rows with a null id stay.  Columns are those of the input.
+    """
+    found = near_duplicates(docs, key, text, numerator=numerator)
+    found = materialize(found.select(F.col("doc_id").alias("__id"), "kept"), "kept")
+    gone = found.filter("NOT kept").select("__id").distinct()
+    names = [f"`{c}`" for c in docs.columns]
+    out = join_keys(docs.withColumn("__id", F.col(key).cast("long")), gone, ["__id"], "left_anti")
+    if not found.filter("kept AND __id IS NOT NULL").groupBy("__id").count().filter("count > 1").isEmpty():
+        first = Window.partitionBy("__id").orderBy(text)
+        once = out.filter("__id IS NOT NULL").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+        out = once.unionByName(out.filter("__id IS NULL"))
+    return out.select(*names)
+
+
 def _top_hubs(degrees: DataFrame) -> DataFrame:
     """The HUBS nodes with most links of each component; a first cut within hashed parts bounds every group."""
     best = [F.desc("count"), F.asc("node"), F.asc("nth")]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, decontam, forest, lm, records, sharding, substring, toxicity
+from millrace.llm import audio, bpe, decontam, forest, html, lm, records, sharding, substring, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_scores(_documents(spark, sf_dir))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -75,7 +79,7 @@ SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id, doc_id = com
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries."""
-    return {f.__name__: f for f in (op1_audio_features, op2_lm_scoring, op4_byte_bpe, op5_toxicity, op6_token_records, op7_decontamination, op8_substring_dedup, op9_sharding, op10_minhash_forest)}
+    return {f.__name__: f for f in (op1_audio_features, op2_lm_scoring, op3_html_extraction, op4_byte_bpe, op5_toxicity, op6_token_records, op7_decontamination, op8_substring_dedup, op9_sharding, op10_minhash_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
