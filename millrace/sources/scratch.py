@@ -41,3 +41,17 @@ def drop(df: DataFrame) -> None:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan: the bytes of its files for a scan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+#: Rows of keys that may be broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def join_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join a wide table with a table of keys: by broadcast if that has few rows, else by a shuffle.
+
+    The rows are counted first (of at most one more than the bound), so what is broadcast is bounded.
+    """
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keys = keys.hint("broadcast")
+    return df.join(keys, on, how)
