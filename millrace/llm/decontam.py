@@ -24,7 +24,6 @@ occur exactly; equal items are each reported; an empty benchmark leaves every do
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import mix, ngram_hashes, word_hashes, words
+from millrace.llm._text import Tokens, mix, ngram_hashes, word_hashes
 from millrace.sources.scratch import join_keys, materialize
 
 SIMILARITY, MIN_WORDS, BROADCAST_ITEMS = 0.8, 8, 20_000
 WALKS, SETS, BITS = 8, 6, 5
 TABLE_BITS, CHUNK, BATCH = 21, 17, 1000
-_WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _R = np.random.default_rng(2016)
 _KEYS = _R.integers(0, 1 << 63, WALKS, dtype=np.uint64) | np.uint64(1)
 
@@ -80,10 +78,10 @@ class Items:
     def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY):
         self.words, self.ids, self.similarity = [], [], similarity
         for i, text in items:
-            ws = words(text)
-            if i is not None and ws:
+            h = word_hashes(text)
+            if i is not None and len(h):
                 self.ids.append(i)
-                self.words.append(word_hashes(ws))
+                self.words.append(h)
         self.pairs = np.zeros(1 << TABLE_BITS, bool)
         self.single = np.zeros(1 << TABLE_BITS, bool)
         self.groups: dict[int, dict] = {}
@@ -234,7 +232,7 @@ def _places(embedded: Items, ids: list, hashes: list, texts: list) -> list[tuple
     parts, firsts, at = [], [], 0
     apart = np.zeros(embedded.gap, np.uint64)
     for x in texts:
-        h = word_hashes(words(x))
+        h = word_hashes(x)
         parts += [h, apart]
         firsts.append(at)
         at += len(h) + len(apart)
@@ -244,8 +242,8 @@ def _places(embedded: Items, ids: list, hashes: list, texts: list) -> list[tuple
         by_doc[k].append((item, a - firsts[k], b - firsts[k], d))
     rows = []
     for k, found in by_doc.items():
-        spans = [m.span() for m in _WORD.finditer(texts[k])]
-        rows += [(ids[k], embedded.ids[i], spans[a][0], spans[b - 1][1], d, len(embedded.words[i]), hashes[k]) for i, a, b, d in found]
+        first, last = Tokens(texts[k]).points()
+        rows += [(ids[k], embedded.ids[i], int(first[a]), int(last[b - 1]), d, len(embedded.words[i]), hashes[k]) for i, a, b, d in found]
     return rows
 
 

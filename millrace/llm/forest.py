@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._text import shingle_set, words
+from millrace.llm._text import shingle_set
 from millrace.operators.components import connected_components
 from millrace.sources.scratch import drop, join_keys, materialize
 
@@ -64,7 +64,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             n, lo, hi, sig = [], [], [], []
             for x in b.column(2):
-                s = shingle_set(words(x.as_py()), shingle)
+                s = shingle_set(x.as_py(), shingle)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 lo.append(int.from_bytes(d[:8], "little", signed=True))
@@ -184,10 +184,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, numerator: int) ->
     def kernel(text: str):
         from millrace.llm._text import overlap
 
-        one = shingle_set(words(text), shingle)
+        one = shingle_set(text, shingle)
 
         def compare(a, ath, b, bth, other, _):
-            two = shingle_set(words(other), shingle)
+            two = shingle_set(other, shingle)
             both = overlap(one, two)
             return [{"a": a, "ath": ath, "b": b, "bth": bth, "linked": 100 * both >= numerator * (len(one) + len(two) - both)}]
 
