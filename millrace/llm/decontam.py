@@ -37,8 +37,8 @@ from millrace.llm._text import Tokens, mix, ngram_hashes, word_hashes
 from millrace.sources.scratch import join_keys, materialize
 
 SIMILARITY, MIN_WORDS, BROADCAST_ITEMS = 0.8, 8, 20_000
-WALKS, SETS, BITS = 8, 6, 5
-TABLE_BITS, CHUNK, BATCH = 21, 17, 1000
+WALKS, SETS, BITS = 10, 6, 5
+TABLE_BITS, CHUNK, BATCH = 21, 34, 1000
 _R = np.random.default_rng(2016)
 _KEYS = _R.integers(0, 1 << 63, WALKS, dtype=np.uint64) | np.uint64(1)
 
@@ -49,13 +49,13 @@ def allowed(n: int, similarity: float = SIMILARITY) -> int:
 
 
 def walk(h: np.ndarray, starts: np.ndarray, steps: int, k: int) -> np.ndarray:
-    """Walk k's first outputs from each start: words read [starts, steps]; past the end it writes zero."""
+    """Walk k's first outputs from each start: words read [steps, starts]; past the end it writes zero."""
     at = starts.astype(np.int64).copy()
     padded = np.concatenate([h, np.zeros(1, np.uint64)])
-    out = np.empty((len(starts), steps), np.uint64)
+    out = np.empty((steps, len(starts)), np.uint64)
     for j in range(steps):
         x = padded[np.minimum(at, len(h))]
-        out[:, j] = x
+        out[j] = x
         coin = (x + np.uint64(j + 1)) * _KEYS[k]
         at += ((coin ^ (coin >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)).astype(np.int64)
     return out
@@ -99,9 +99,9 @@ class Items:
             steps = self.steps(n)
             tables = []
             for w in range(WALKS):
-                out = [walk(self.words[k], np.zeros(1, np.int64), steps, w)[0] for k in ks]
+                out = np.concatenate([walk(self.words[k], np.zeros(1, np.int64), steps, w) for k in ks], axis=1)
                 for s in samples(steps, w):
-                    keys = self.key(np.stack(out)[:, s])
+                    keys = self.key([out[j] for j in s])
                     order = np.argsort(keys, kind="stable")
                     tables.append((keys[order], np.array(ks)[order]))
             self.groups[n] = {"steps": steps, "tables": tables}
@@ -112,11 +112,11 @@ class Items:
         return max(1, int(1.5 * n))
 
     @staticmethod
-    def key(x: np.ndarray) -> np.ndarray:
-        x = np.atleast_2d(x)
-        out = np.zeros(x.shape[:-1], np.uint64)
-        for k in range(x.shape[-1]):
-            out = (out ^ x[..., k]) * np.uint64(0x9E3779B97F4A7C15)
+    def key(sampled: list[np.ndarray]) -> np.ndarray:
+        """One hash of the sampled outputs of every walk."""
+        out = np.zeros(len(sampled[0]), np.uint64)
+        for x in sampled:
+            out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
         return out
 
@@ -166,7 +166,7 @@ class Items:
                 mine, group = row[ok], self.groups[n]
                 for k, s in enumerate(_samples(group["steps"], w)):
                     keys, items = group["tables"][w * SETS + k]
-                    value = self.key(out[mine][:, s] if len(s) * 4 < steps else out[mine[:, None], s])
+                    value = self.key([out[j][mine] for j in s])
                     lo, hi = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
                     for at in np.flatnonzero(hi > lo):
                         found.update((int(starts[mine[at]]), int(i)) for i in items[lo[at] : hi[at]])
