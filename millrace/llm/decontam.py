@@ -38,7 +38,7 @@ from millrace.sources.scratch import join_keys, materialize
 
 SIMILARITY, MIN_WORDS, BROADCAST_ITEMS = 0.8, 8, 20_000
 WALKS, SETS, BITS = 10, 6, 5
-TABLE_BITS, CHUNK, BATCH = 21, 34, 1000
+TABLE_BITS, CHUNK, BATCH, RATIO = 21, 34, 1000, 1.25
 _R = np.random.default_rng(2016)
 _KEYS = _R.integers(0, 1 << 63, WALKS, dtype=np.uint64) | np.uint64(1)
 
@@ -95,16 +95,23 @@ class Items:
         self.reach = max([n + e for n, e in sizes], default=1)
         self.gap = 2 * self.reach
         self.share = min([max(1, -(-max(1, n - 1 - 2 * e) // -(-(n + e) // CHUNK))) for n, e in sizes if n > 1], default=1)
-        for n, ks in by_size.items():
-            steps = self.steps(n)
-            tables = []
+        self.sizes = sorted(by_size)
+        least = 0
+        for n in self.sizes:  # sizes that are alike share the sampled steps of the smallest
+            if not self.groups or n > RATIO * least:
+                least = n
+                self.groups[least] = {"steps": self.steps(n), "sizes": [], "items": []}
+            self.groups[least]["sizes"].append(n)
+            self.groups[least]["items"] += by_size[n]
+        for group in self.groups.values():
+            ks, tables = group["items"], []
             for w in range(WALKS):
-                out = np.concatenate([walk(self.words[k], np.zeros(1, np.int64), steps, w) for k in ks], axis=1)
-                for s in samples(steps, w):
+                out = np.concatenate([walk(self.words[k], np.zeros(1, np.int64), group["steps"], w) for k in ks], axis=1)
+                for s in samples(group["steps"], w):
                     keys = self.key([out[j] for j in s])
                     order = np.argsort(keys, kind="stable")
                     tables.append((keys[order], np.array(ks)[order]))
-            self.groups[n] = {"steps": steps, "tables": tables}
+            group["tables"] = tables
 
     @staticmethod
     def steps(n: int) -> int:
@@ -135,7 +142,7 @@ class Items:
         np.add.at(alive, np.maximum(dense - self.reach, 0), 1)
         np.add.at(alive, np.minimum(dense + CHUNK, end), -1)
         on = np.cumsum(alive[:-1]) > 0
-        if 1 in self.groups:
+        if 1 in self.sizes:
             on |= self.single[(mix(h) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         return np.flatnonzero(on & (h != 0)), total
 
@@ -145,15 +152,16 @@ class Items:
         if not len(alive):
             return []
         by_size, used = {}, np.zeros(len(alive), bool)
-        for n in self.groups:
-            edits = allowed(n, self.similarity)
-            least = n - 1 - 2 * edits
-            if n > 1:
-                ok = total[np.minimum(alive + n - 1 + edits, len(h))] - total[alive] >= max(least, 1)
-            else:
-                ok = self.single[(mix(h[alive]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        for least, group in self.groups.items():
+            ok = np.zeros(len(alive), bool)
+            for n in group["sizes"]:
+                edits = allowed(n, self.similarity)
+                if n > 1:
+                    ok |= total[np.minimum(alive + n - 1 + edits, len(h))] - total[alive] >= max(n - 1 - 2 * edits, 1)
+                else:
+                    ok |= self.single[(mix(h[alive]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             if ok.any():
-                by_size[n] = ok
+                by_size[least] = ok
                 used |= ok
         if not by_size:
             return []

@@ -5,9 +5,10 @@ A record is a frame around one serialized sequence:
     u64 length | u32 masked checksum of the length | payload | u32 masked checksum of the payload | 0x0A
 
 all little-endian.  The payload is the width of an id in bytes (2 for a vocabulary of up to
-65,536, else 4; plus 128 if the document has an id), the id as i64, and the token ids.  A checksum is CRC-32 rotated right by 15 bits plus a constant, so
-that a checksum over data that holds checksums stays sound.  The closing line feed lets
-Spark's own text writer, with its commit protocol and any file system, write the frames.
+65,536, else 4; plus 128 if the document has an id), the id as i64, and the token ids.  A
+checksum is CRC-32 rotated right by 15 bits plus a constant, so that a checksum over data that
+holds checksums stays sound.  The closing line feed lets Spark's own text writer, with its
+commit protocol and any file system, write the frames.
 
 The index is a table beside the data: document id, file, offset and length of the frame,
 number of ids, ids before it.  A reader shuffles the index and fetches single frames by
@@ -38,9 +39,13 @@ from millrace.sources.scratch import input_bytes, scratch_dir
 
 #: Text of a file of records, and words remembered by a worker.
 FILE_BYTES, WORDS = 64 << 20, 300_000
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+#: Characters by which a byte-level vocabulary shows bytes: printable Latin-1 by themselves, others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = dict(zip((b for b in range(256) if b not in _PRINTED), range(256, 512)))
+
 
 def masked(data: bytes) -> int:
     """Masked CRC-32."""
@@ -117,9 +122,10 @@ class Encoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, lower: str) -> bytes:
-        if lower.isascii():  # one match of the tokenizer's pattern, and bytes that stand for themselves
-            return array(self.code, [x.id for x in self.model.tokenize(lower)]).tobytes()
-        return self.whole(lower)
+        """One match of the tokenizer's pattern, composed and lower already, so the model can take its bytes."""
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(_SHOWN)
+        return array(self.code, [x.id for x in self.model.tokenize(lower)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         m = _PLAIN(word)
@@ -130,7 +136,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 

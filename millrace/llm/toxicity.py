@@ -12,8 +12,8 @@ say about it: the log-odds that some token is toxic, the expected toxic tokens,
 the largest marginal.  A token's features are its letters and its neighbours', lower case
 without surrounding marks; labels, language, source and id are never inputs.
 
-Training reads at most SAMPLE labelled documents, those with the smallest hashes of their text
-(a documented bound); the scored documents are all.
+Training reads at most SAMPLE labelled documents, drawn by a hash (a documented bound); the
+scored documents are all.
 
 Cases: null and empty texts have no token and get the score of a document without evidence; a
 document labelled twice counts as toxic if any of its labels says so; without labelled rows, or
@@ -311,13 +311,16 @@ def _joint(crf: Crf, emit: list[np.ndarray], m: np.ndarray, inner: np.ndarray) -
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 5) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled texts outside the held-out fold, by hash of the text."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    """At most SAMPLE labelled texts outside the held-out fold.
+
+    The labels are sampled first, by a hash of their id, so that a bounded list of ids meets
+    the documents and no text is shuffled.
+    """
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     if held_out:
-        fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out
-        known, rows = known.filter(fold != 0), rows.filter(fold != 0)
-    chosen = rows.join(known, "doc_id").select(F.xxhash64("text").alias("h"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+        known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic")
     out, size = [], 0
     for r in chosen.orderBy("h", "text", "toxic").limit(SAMPLE).toLocalIterator():
         size += len(r["text"])
