@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,9 +40,21 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Sizes from here on stand for a plan whose size the optimizer does not know.
+UNKNOWN_BYTES = 1 << 58
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan: the bytes of its files for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's size of a plan: the bytes of its files for a scan.
+
+    A plan of unknown size (rows that come from Python, for one) is measured: the bytes of its
+    strings, and eight for every other value.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN_BYTES:
+        return size
+    widths = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") if f.dataType.typeName() in ("string", "binary") else F.lit(8).cast("long") for f in df.schema.fields]
+    return int(df.agg(F.sum(reduce(lambda a, b: a + b, widths))).first()[0] or 0)
 
 
 #: Rows of keys that may be broadcast.
