@@ -16,8 +16,9 @@ Training reads at most SAMPLE labelled documents, drawn by a hash (a documented
 scored documents are all.
 
 Cases: null and empty texts have no token and get the score of a document without evidence; a
-document labelled twice counts as toxic if any of its labels says so; without labelled rows, or
-with one class only, every score is the share of toxic ones (0 without any).
+document labelled twice counts as toxic if any of its labels says so; without labelled rows,
+with one class only, or without words in them, every score is the share of toxic ones (0 without
+any; within 1e-12).
 """
 
 from __future__ import annotations
@@ -217,14 +218,18 @@ def lexicon(docs: list[tuple[str, int]]) -> tuple[list[str], set[str]]:
     return sorted(marked) + usual, marked
 
 
+def _constant(docs: list[tuple[str, int]]) -> Crf:
+    """A model without evidence: every score is the share of toxic documents, within 1e-12 of 0 and 1."""
+    crf = Crf([])
+    share = sum(t for _, t in docs) / len(docs) if docs else 0.0
+    crf.document[0] = float(np.clip(np.log(max(share, 1e-14) / max(1 - share, 1e-14)), -30, 30))
+    return crf
+
+
 def train(docs: list[tuple[str, int]]) -> Crf:
     """Fit the field and the documents' logistic function on (text, toxic) pairs."""
-    classes = {t for _, t in docs}
-    if len(classes) < 2:
-        crf = Crf([])
-        share = (sum(t for _, t in docs) + 0.0) / len(docs) if docs else 0.0
-        crf.document[0] = -30.0 if share <= 0 else 30.0
-        return crf
+    if len({t for _, t in docs}) < 2 or not any(tokens(x) for x, _ in docs):
+        return _constant(docs)
     names, marked = lexicon(docs)
     crf = Crf(names)
     ids = [crf.ids(x) for x, _ in docs]
