@@ -160,9 +160,9 @@ _INTEGRITY = f"""WITH {_RECORDS} SELECT 'crosses_splits' AS rule, canonical_low,
 UNION ALL SELECT DISTINCT 'varying_value', canonical_low, canonical_high FROM (SELECT canonical_low, canonical_high, depth FROM rec GROUP BY 1, 2, 3 HAVING count(DISTINCT value) > 1)"""
 
 
-def gains(spark: SparkSession, sf_dir: str, where: str = "ply % 5 = 0") -> DataFrame:
-    """Gains of both players at every empty cell of every fifth position (the sampling of positions is the operator's)."""
-    df = positions(spark, sf_dir).filter(where)
+def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of both players at every empty cell of every position; ``_GAINS`` has every fifth position only."""
+    df = positions(spark, sf_dir)
     return B.with_gains(B.explode_empty(df, F.col("p1").bitwiseOR(F.col("p2")), "cell"))
 
 
@@ -189,11 +189,13 @@ def _row_arrays(df: DataFrame) -> DataFrame:
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Static evaluation after the best move and the best reply elsewhere; with one empty cell, after that move alone."""
+    """Static evaluation after the best move and the best reply elsewhere; with one empty cell, after that move alone, on a full board, as it is."""
     df = _row_arrays(gains(spark, sf_dir))
     best = df.groupBy("trajectory", "ply").agg(F.max(F.col("own_gain") - F.col("reply")).alias("best"), F.max("own_gain").alias("only"), F.first("empties").alias("empties"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
     base = B.with_scores(best, s1="p1", s2="p2").withColumn("base", B.static_evaluation(F.col("s1"), F.col("s2"), F.col("ply")))
-    return base.select("trajectory", "ply", "base", F.when(F.col("empties") >= 2, F.col("base") + 2 * F.col("best")).otherwise(F.col("base") + 2 * (F.col("only") - 1)).cast("int").alias("closure"))
+    moved = base.select("trajectory", "ply", "base", F.when(F.col("empties") >= 2, F.col("base") + 2 * F.col("best")).otherwise(F.col("base") + 2 * (F.col("only") - 1)).cast("int").alias("closure"))
+    full = B.static_evaluation(F.col("s1"), F.col("s2"), F.col("ply"))
+    return moved.unionByName(scored(spark, sf_dir).filter(f"ply = {B.CELLS}").select("trajectory", "ply", full.alias("base"), full.alias("closure")))
 
 
 _CLOSURE = _GAINS + f""", pr AS (SELECT x.trajectory, x.ply, max(x.own_gain - y.opponent_gain_max) AS best FROM g x JOIN LATERAL (SELECT max(opponent_gain) AS opponent_gain_max FROM g z WHERE z.trajectory = x.trajectory AND z.ply = x.ply AND z.cell <> x.cell) y ON true GROUP BY 1, 2),
@@ -269,7 +271,7 @@ SELECT chr(CAST(97 + m[1] % 7 AS INT)) || CAST(m[1] // 7 + 1 AS VARCHAR) || ' '
 
 
 def greedy_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-legal and greedy policies on every fifth position: the lowest empty cell, and the largest own gain (first cell on ties)."""
+    """First-legal and greedy policies on every position with an empty cell: the lowest empty cell, and the largest own gain (first cell on ties)."""
     df = gains(spark, sf_dir)
     return df.groupBy("trajectory", "ply").agg(F.min("cell").alias("first_legal"), F.max(F.struct("own_gain", (-F.col("cell")).alias("c"))).alias("m")).select("trajectory", "ply", "first_legal", (-F.col("m.c")).alias("greedy"), F.col("m.own_gain").alias("greedy_gain"))
 
