@@ -280,8 +280,8 @@ _GREEDY = _GAINS + "SELECT trajectory, ply, min(cell) AS first_legal, arg_max(ce
 
 
 def successor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root moves that lead to the same canonical position, as groups: their representative and members."""
-    df = positions(spark, sf_dir).filter("ply <= 3")
+    """Root moves of every position that lead to the same canonical position, as groups: their representative and members."""
+    df = positions(spark, sf_dir)
     moved = B.explode_empty(df, F.col("p1").bitwiseOR(F.col("p2")), "move")
     first = F.col("side") == 0
     child = moved.select("trajectory", "ply", "move", F.when(first, F.col("p1").bitwiseOR(B.bit(F.col("move")))).otherwise(F.col("p1")).alias("p1"), F.when(first, F.col("p2")).otherwise(F.col("p2").bitwiseOR(B.bit(F.col("move")))).alias("p2"), (1 - F.col("side")).alias("side"))

@@ -99,3 +99,16 @@ def test_summaries_of_every_position(spark, boards, gains):
 def test_policies_on_every_position(spark, boards, gains):
     want = [(*at, min(cells), min(cells, key=lambda c: (-cells[c][0], c)), max(g[0] for g in cells.values())) for at, cells in gains.items() if cells]
     assert sorted(map(tuple, Q.greedy_moves(spark, boards[0]).collect())) == sorted(want)
+
+
+def test_successors_of_every_position(spark, boards):
+    turns = [lambda r, c: (r, c), lambda r, c: (c, 6 - r), lambda r, c: (6 - r, 6 - c), lambda r, c: (6 - c, r)]
+    maps = [[t(c // 7, k)[0] * 7 + t(c // 7, k)[1] for c in CELLS for k in ((6 - c % 7) if flip else c % 7,)] for t in turns for flip in (False, True)]
+    want = []
+    for (user, ply), sides in boards[1].items():
+        groups = defaultdict(list)
+        for c in sorted(set(CELLS) - sides[0] - sides[1]):
+            after = [s | {c} if k == ply % 2 else s for k, s in enumerate(sides)]
+            groups[min(tuple(tuple(sorted(m[x] for x in s)) for s in after) for m in maps)].append(c)
+        want += [(user, ply, x[0], len(x)) for x in groups.values()]
+    assert sorted(map(tuple, Q.successor_groups(spark, boards[0]).collect())) == sorted(want)
