@@ -16,6 +16,13 @@ their group.  So every component has its hubs, the classes with the most confirm
 a class with an unconfirmed candidate in another component is compared with that component's
 hubs, again and again until no round adds a link.  This is linear in the classes.
 
+What is left between components is found without loss by prefixes: sets of n shingles at the
+threshold t share one of their first n - ceil(t * n) + 1 shingles in any order of all shingles.
+The order is by estimated frequency, so text that many documents share comes last.  For each
+shingle in prefixes of several components, members of all but its most frequent component are
+paired with those of other components, and pairs with too few common prefix shingles to reach the
+threshold are dropped; every other pair is confirmed.
+
 Nothing is collected: sorting is a range partition (a region may be split), pairs are compared
 as a stream sorted by their centre, and centres with many partners are salted.
 """
@@ -36,6 +43,8 @@ from millrace.sources.scratch import drop, join_keys, materialize
 
 TREES, DEPTH, LEAST, REACH = 12, 8, 2, 4
 SHINGLE, NUMERATOR, HUBS = 5, 85, 3
+#: Buckets and classes of the frequencies that order shingles; results don't depend on them.
+ORDER_BITS, ORDER_CLASSES = 18, 50_000
 #: Partners of a centre in one salt.
 SALT = 256
 
@@ -196,6 +205,63 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, numerator: int) ->
     return compare_pairs(pairs, docs, kernel, "a long, ath long, b long, bth long, linked boolean")
 
 
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles by bucket of their hash, over some of the texts; a task makes a row a piece of the table."""
+    piece = 1 << (ORDER_BITS - 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount((shingle_set(x.as_py(), shingle) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(64)], pa.binary())], names=["piece", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
+        return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    schema = "piece int, counts binary"
+    out = np.zeros((64, piece), np.int64)
+    for k, counts in texts.select("text").mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect():
+        out[k] = np.frombuffer(counts, np.int64)
+    return out.ravel()
+
+
+def _prefixes(texts: DataFrame, order: np.ndarray, shingle: int, numerator: int) -> DataFrame:
+    """A row a shingle of the prefix of each set: key, id, th, size of the set, component."""
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            keys, at, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for k, x in enumerate(b.column(3)):
+                s = shingle_set(x.as_py(), shingle)
+                n = len(s)
+                first = s[np.lexsort((s, counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[: n + 1 + -numerator * n // 100]]
+                keys.append(first)
+                at.append(np.full(len(first), k))
+                sizes.append(np.full(len(first), n, np.int32))
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(sizes)), b.column(2).take(at)], names=["key", "id", "th", "n", "component"])
+
+    return texts.select("id", "th", "component", "text").mapInArrow(run, "key long, id long, th long, n int, component long")
+
+
+def _pairs_between(rows: DataFrame, numerator: int) -> DataFrame:
+    """Pairs of sets of different components that may reach the threshold, from their prefixes; none that does is left out."""
+    counted = rows.groupBy("key", "component").count()
+    mixed = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("largest")).filter("parts > 1").drop("parts")
+    x = materialize(rows.join(mixed, "key"), "mixed")
+    y = x.filter("component <> largest").select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "th", "n", "component")])
+    one, two = F.struct(F.col("id").alias("i"), F.col("th").alias("h")), F.struct(F.col("id2").alias("i"), F.col("th2").alias("h"))
+    met = x.join(y, "key").filter(F.col("component") != F.col("component2")).filter((F.col("component") == F.col("largest")) | (one < two)).filter(100 * F.least("n", "n2") >= numerator * F.greatest("n", "n2"))
+    ends = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), F.least("n", "n2").alias("small"), F.greatest("n", "n2").alias("large"))
+    common = ends.groupBy("x", "y", "small", "large").count()
+    most = F.col("count") + F.ceil(numerator * F.col("large") / 100) - 1  # shingles that the two sets can share
+    return common.filter(most * (100 + numerator) >= numerator * (F.col("small") + F.col("large"))).select(F.col("x.i").alias("a"), F.col("x.h").alias("ath"), F.col("y.i").alias("b"), F.col("y.h").alias("bth"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """The near-duplicate class of every row: doc_id, n_shingles, component_id, kept.
 
@@ -239,6 +305,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         tested = materialize(tested.unionByName(more), "tested")
         if more.filter("linked").isEmpty():
             break
+    # whatever link is left between components
+    owners = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "th", F.coalesce("component", "id").alias("component"))
+    owners = materialize(owners, "owners")
+    texts = join_keys(source, owners, ["id", "th"], "inner")
+    if not again.isEmpty():
+        texts = texts.dropDuplicates(["id", "th"])
+    few = owners.filter(F.pmod(F.xxhash64("th"), F.lit(-(-owners.count() // ORDER_CLASSES) or 1)) == 0)
+    order = _frequencies(join_keys(source, few.select("id", "th"), ["id", "th"], "left_semi"), shingle)
+    rows = materialize(_prefixes(texts, order, shingle, numerator), "prefixes")
+    rest = materialize(_pairs_between(rows, numerator).join(tested.select(ends), ends, "left_anti"), "pairs-between")
+    drop(rows)
+    if not rest.isEmpty():
+        last = materialize(_confirm(rest, source, shingle, numerator).filter("linked"), "tested")
+        if not last.isEmpty():
+            found = materialize(connected_components(tested.filter("linked").unionByName(last).select("a", "b").union(same)), "components")
     reps = classes.select("lo", "hi", F.col("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n", "lo", "hi").join(reps, ["lo", "hi"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

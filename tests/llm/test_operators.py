@@ -284,6 +284,37 @@ def test_forest_equals_sql(spark, table, odd, tmp_path):
     assert left.filter("doc_id IS NOT NULL").count() == left.filter("doc_id IS NOT NULL").select("doc_id").distinct().count()
 
 
+def test_forest_finds_every_link_of_crowds(spark):
+    """A tree of chained copies and a star of copies too far from each other, against all pairs."""
+    rng = random.Random(31)
+    fresh = iter(range(10**6))
+
+    def edited(ws, n):
+        out = list(ws)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"x{next(fresh)}"
+        return out
+
+    tree = [[f"t{k}" for k in range(200)]]
+    while len(tree) < 1500:
+        tree.append(edited(rng.choice(tree), rng.choice((2, 3))))
+    centre = [f"s{k}" for k in range(200)]
+    texts = tree + [centre] + [edited(centre, 4) for _ in range(900)]
+    rng.shuffle(texts)
+    sets = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in texts]
+    number = {}
+    sets = [{number.setdefault(g, len(number)) for g in x} for x in sets]
+    first = list(range(len(texts)))  # the smallest document of each one's component
+    for k, x in enumerate(sets):
+        for j in range(k):
+            if first[j] != first[k] and 100 * (both := len(x & sets[j])) >= 85 * (len(x) + len(sets[j]) - both):
+                low, high = sorted((first[j], first[k]))
+                first = [low if c == high else c for c in first]
+    df = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(df).collect()}
+    assert {k for k, c in enumerate(first) if got[k] != c} == set()
+
+
 def test_empty_tables(spark, table):
     none = table.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
