@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 PATH, WORD, MEASURES, HIDDEN = 160, 32, 6, 16
 INPUT = PATH + WORD + MEASURES
 PAGES, EPOCHS, TRAIN_BATCH, RATE = 700, 8, 50, 0.02
-#: Pages labelled together.
-BATCH = 250
+#: Pages labelled together; outermost elements that a block's path has.
+BATCH, PATH_DEPTH = 250, 500
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea select button svg math iframe object canvas title head".split())
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+'|["'])*+)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 _MARKS = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
@@ -67,6 +68,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    nested: Counter[str] = Counter()
     parts: list[str] = []
     linked = link = 0
 
@@ -75,7 +77,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in stack for n in names), min(linked, len(text))))
+                out.append(Block(text, tuple(n for _, names in stack[:PATH_DEPTH] for n in names), min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -114,16 +116,15 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         link = 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            left = nested[tag] - 1
+            while left >= 0 and nested[tag] > left:
+                nested[stack.pop()[0]] -= 1
         elif tag not in _VOID and not m[3].endswith("/"):
             closes = _CLOSES.get(tag, frozenset())
             while stack and (stack[-1][0] in closes or stack[-1][0] == "p" and tag in _ENDS_P):
-                stack.pop()
-            if len(stack) < 500:
-                stack.append((tag, _names(tag, m[3])))
+                nested[stack.pop()[0]] -= 1
+            stack.append((tag, _names(tag, m[3])))
+            nested[tag] += 1
     flush()
     return out
 

@@ -118,6 +118,15 @@ def test_html_on_unseen_pages(spark):
     assert got[41].text == got[42].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_long_attributes_and_deep_elements():
+    for quote in "\"'":
+        page = f"<p data-x={quote}{'a > b ' * 2000}{quote}>Text.</p><p>More.</p>"
+        assert [b.text for b in html.blocks(page)] == ["Text.", "More."]
+    deep = "<main>" + "<div>" * 700 + "<section>in</section>" + "</div>" * 700 + "<p>out</p></main><p>after</p>"
+    paths = {b.text: b.path for b in html.blocks(deep)}
+    assert paths["out"] == ("main", "p") and paths["after"] == ("p",) and len(paths["in"]) == 500
+
+
 def test_byte_bpe_equals_tiktoken(spark, table, odd, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     peer = tiktoken.Encoding("peer", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
