@@ -324,6 +324,19 @@ def test_forest_finds_every_link_of_crowds(spark):
     assert {k for k, c in enumerate(first) if got[k] != c} == set()
 
 
+def test_forest_with_more_partitions_than_classes(spark):
+    rng = random.Random(41)
+    centre = some(rng, 200).split()
+    rows = [(k, " ".join([*centre[: 50 * k], *([f"w{k}"] if k else []), *centre[50 * k + 1 if k else 0 :]])) for k in range(4)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.component_id for r in got} == {0} and len(got) == 4
+
+
 def test_empty_tables(spark, table):
     none = table.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
