@@ -12,8 +12,9 @@ say about it: the log-odds that some token is toxic, the expected toxic tokens,
 the largest marginal.  A token's features are its letters and its neighbours', lower case
 without surrounding marks; labels, language, source and id are never inputs.
 
-Training reads at most SAMPLE labelled documents, drawn by a hash (a documented bound); the
-scored documents are all.
+Training reads at most SAMPLE labelled documents of SAMPLE_CHARS code points in all, drawn by a
+hash from those that have a label and a text (documented bounds), each of them whole, and runs
+in one task; the scored documents are all.
 
 Cases: null and empty texts have no token and get the score of a document without evidence; a
 document labelled twice counts as toxic if any of its labels says so; without labelled rows,
@@ -26,7 +27,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._text import ngram_hashes
+
 #: Training documents, code points of theirs in all, words of the list; log-odds and share of toxic documents of a marking word.
-SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 24_000_000, 4000, 2.0, 0.02
+SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 6_000_000, 4000, 2.0, 0.02
 STEPS, RATE, L2 = 60, 0.5, 1e-3
 #: Lengths of beginnings; words remembered by a worker.
 PREFIXES, MEMO = (4, 5, 6, 7), 300_000
@@ -71,6 +74,35 @@ class _Slots(dict):
         return slot
 
 
+def _ratios(p: np.ndarray, q: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """r[k] = (p[k] r[k-1] + q[k]) / (s[k] r[k-1] + t[k]), where the first step does not ask for r.
+
+    The chain is cut into pieces that go step by step together: the products of a piece's matrices
+    turn the ratio before it into every ratio in it, and a short walk over the pieces gives those.
+    """
+    n = len(p)
+    if not n:
+        return np.empty(0)
+    size = max(8, int(n**0.5) // 4)
+    pieces = -(-n // size)
+    pad = pieces * size - n
+    p, q, s, t = (np.ascontiguousarray(np.append(v, np.full(pad, f)).reshape(pieces, size).T) for v, f in ((p, 1.0), (q, 0.0), (s, 0.0), (t, 1.0)))
+    out = [np.empty_like(p) for _ in range(4)]
+    w, x, y, z = np.ones(pieces), np.zeros(pieces), np.zeros(pieces), np.ones(pieces)
+    for k in range(size):
+        w, x, y, z = p[k] * w + q[k] * y, p[k] * x + q[k] * z, s[k] * w + t[k] * y, s[k] * x + t[k] * z
+        scale = 1 / (w + x + y + z)
+        for o, v in zip(out, (w * scale, x * scale, y * scale, z * scale)):
+            o[k] = v
+        w, x, y, z = (o[k] for o in out)
+    before, r = np.empty(pieces), 1.0
+    for k, (w1, x1, y1, z1) in enumerate(zip(*(o[-1].tolist() for o in out))):
+        before[k] = r
+        r = (w1 * r + x1) / (y1 * r + z1)
+    w, x, y, z = out
+    return ((w * before + x) / (y * before + z)).T.reshape(-1)[:n]
+
+
 class Crf:
     """Two states (0 clean, 1 toxic); a feature weighs on its own token and on both neighbours."""
 
@@ -108,55 +140,40 @@ class Crf:
             new = np.array([[w[0] * (k == 0) + sum(w[f] for f in row) for row in self.slots.rows[have:]] for k, w in enumerate((self.own, self.before, self.after))])
             self.weights = np.concatenate([self.weights[:, :have], new], axis=1)
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Score of the toxic state over the clean one at every token."""
+    def emissions(self, ids: np.ndarray, inner: np.ndarray | None = None) -> np.ndarray:
+        """Score of the toxic state over the clean one at every token; ``inner`` are those with a token before."""
         own, before, after = self.weights
         e = own[ids]
-        if len(ids) > 1:
-            e[1:] += before[ids[:-1]]
-            e[:-1] += after[ids[1:]]
+        if inner is None:
+            inner = np.arange(1, len(ids))
+        e[inner] += before[ids[inner - 1]]
+        e[inner - 1] += after[ids[inner]]
         return e
 
     def marginals(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """P(toxic) of every token of each sequence, by forward-backward over the batch.
-
-        The sequences are sorted by length and go step by step together; both passes keep a
-        ratio of the two states' messages, which is all that two states need.
+        """P(toxic) of every token of each sequence, by forward-backward over all of them as one chain."""
+        sizes = [len(e) for e in emissions]
+        cuts = np.cumsum(sizes)
+        whole = np.concatenate([np.empty(0), *emissions])
+        first = np.zeros(len(whole), bool)
+        first[[c - n for c, n in zip(cuts, sizes) if n]] = True
+        return np.split(self.chain(whole, first), cuts[:-1]) if emissions else []
+
+    def chain(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(toxic) of every token, given its emission and whether a sequence begins with it.
+
+        Both passes keep the ratio of the two states' messages, which is all that two states need.
+        A step is a fractional linear map of the ratio, so the steps compose as 2 x 2 matrices.
         """
-        order = sorted(range(len(emissions)), key=lambda k: -len(emissions[k]))
-        sizes = np.array([len(emissions[k]) for k in order])
-        out: list[np.ndarray] = [np.empty(0)] * len(emissions)
-        at = 0
-        while at < len(order) and sizes[at]:
-            end = at + int((sizes[at:] > max(16, sizes[at] // 2)).sum()) if sizes[at] > 16 else len(order)
-            end = max(end, at + 1)
-            ks = order[at:end]
-            longest = int(sizes[at])
-            e = np.zeros((longest, len(ks)))
-            for j, k in enumerate(ks):
-                e[: len(emissions[k]), j] = emissions[k]
-            live = (sizes[at:end][None, :] > np.arange(longest)[:, None]).sum(1)
-            x = np.exp(np.clip(e, -30, 30))
-            (a, b), (c, d) = np.exp(self.trans - self.trans.max())
-            fwd = np.empty_like(x)
-            r = x[0].copy()
-            fwd[0] = r
-            for t in range(1, longest):
-                n = live[t]
-                r = x[t, :n] * (b + r[:n] * d) / (a + r[:n] * c)
-                fwd[t, :n] = r
-            back = np.ones(len(ks))
-            marg = np.empty_like(x)
-            for t in range(longest - 1, -1, -1):
-                n = live[t]
-                q = fwd[t, :n] * back[:n]
-                marg[t, :n] = q / (1 + q)
-                y = x[t, :n] * back[:n]
-                back[:n] = (c + d * y) / (a + b * y)
-            for j, k in enumerate(ks):
-                out[k] = marg[: len(emissions[k]), j]
-            at = end
-        return out
+        x = np.exp(np.clip(e, -30, 30))
+        (a, b), (c, d) = np.exp(self.trans - self.trans.max())
+        on = ~first
+        fwd = _ratios(np.where(on, x * d, 0), x * np.where(on, b, 1), np.where(on, c, 0), np.where(on, a, 1.0))
+        last = np.append(first[1:], True)[::-1]
+        on, y = ~last, np.append(x[1:], 1.0)[::-1]
+        back = _ratios(np.where(on, y * d, 0), np.where(on, c, 1), np.where(on, y * b, 0), np.where(on, a, 1.0))[::-1]
+        q = fwd * back
+        return q / (1 + q)
 
     def evidence(self, marginals: np.ndarray) -> list[float]:
         """What the marginals say of a document."""
@@ -197,24 +214,48 @@ class Crf:
         return out
 
 
-def lexicon(docs: list[tuple[str, int]]) -> tuple[list[str], set[str]]:
+class Words:
+    """The words of the training texts, numbered, with the numbers of their features."""
+
+    def __init__(self, texts: list[str]):
+        index: dict[str, int] = {}
+        self.ids = []
+        for x in texts:
+            ts = tokens(x)
+            self.ids.append(np.fromiter((index.setdefault(t, len(index)) for t in ts), np.int32, len(ts)))
+        self.words = list(index)
+        crcs = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in self.words], np.uint64)
+        names: dict[str, int] = {}
+        held = [[names.setdefault(f, len(names)) for f in features(w)] for w in self.words]
+        self.names = list(names)
+        self.flat = np.array([f for fs in held for f in fs], np.int32)
+        self.size = np.array([len(fs) for fs in held], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.copies = [int(ngram_hashes(crcs[x], min(3, len(x))).min()) if len(x) else 0 for x in self.ids]  # copies, and most near copies, have one number
+
+    def features_of(self, words: np.ndarray) -> np.ndarray:
+        """Distinct features of some words."""
+        n = self.size[words]
+        at = np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.unique(self.flat[at])
+
+
+def lexicon(words: Words, toxic: list[int]) -> tuple[list[str], set[str]]:
     """The features of the field, and those of them that mark toxic tokens."""
-    seen: list[dict[str, set]] = [{}, {}]
-    for text, toxic in docs:
-        ws = set(tokens(text))
-        copy = min((zlib.crc32(w.encode()) for w in ws), default=0)  # copies and near copies count once
-        for f in {f for w in ws for f in features(w)}:
-            seen[toxic].setdefault(f, set()).add(copy)
-    held = [Counter({w: len(c) for w, c in x.items()}) for x in seen]
-    n = [sum(1 for _, t in docs if t == k) for k in (0, 1)]
-    marks = []
-    for w, k in held[1].items():
-        c = held[0][w]
-        odds = np.log((k + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
-        if k >= max(3, LEAST_SHARE * n[1]) and odds > LEAST_ODDS:
-            marks.append((-odds * np.sqrt(k), w))
-    marked = {w for _, w in sorted(marks)[: LEXICON // 4]}
-    usual = [w for w, _ in (held[0] + held[1]).most_common(LEXICON) if w not in marked and not w.endswith("*")][: LEXICON // 8]
+    groups = defaultdict(list)
+    for k, t in enumerate(toxic):
+        groups[t, words.copies[k]].append(words.ids[k])
+    held = np.zeros((2, len(words.names)), np.int64)  # copies count once
+    for (t, _), ids in groups.items():
+        held[t, words.features_of(np.unique(np.concatenate(ids)))] += 1
+    n = [toxic.count(0), toxic.count(1)]
+    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
+    strong = np.flatnonzero((held[1] >= max(3, LEAST_SHARE * n[1])) & (odds > LEAST_ODDS))
+    marks = sorted((-odds[k] * np.sqrt(held[1, k]), words.names[k]) for k in strong)
+    marked = {w for _, w in marks[: LEXICON // 4]}
+    both = held.sum(0)
+    top = sorted(np.argsort(-both, kind="stable")[:LEXICON], key=lambda k: (-both[k], words.names[k]))
+    usual = [w for w in (words.names[k] for k in top) if w not in marked and not w.endswith("*")][: LEXICON // 8]
     return sorted(marked) + usual, marked
 
 
@@ -230,9 +271,13 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     """Fit the field and the documents' logistic function on (text, toxic) pairs."""
     if len({t for _, t in docs}) < 2 or not any(tokens(x) for x, _ in docs):
         return _constant(docs)
-    names, marked = lexicon(docs)
+    toxic = [t for _, t in docs]
+    words = Words([x for x, _ in docs])
+    names, marked = lexicon(words, toxic)
     crf = Crf(names)
-    ids = [crf.ids(x) for x, _ in docs]
+    slot = np.fromiter(map(crf.slots.__getitem__, words.words), np.int32, len(words.words))
+    crf.refresh()
+    ids = [slot[x] for x in words.ids]
     rows = crf.slots.rows
     place = {w: k + 1 for k, w in enumerate(names)}
     special = {place[w] for w in marked}
@@ -240,24 +285,14 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     has = np.zeros((len(rows), len(names) + 1))
     for k, row in enumerate(rows):
         has[k, list(row)] = 1
-    # tokens far from any marked word look alike: the field is fitted on stretches around marked words and the heads of documents
-    seqs, gold = [], []
-    for x, (_, toxic) in zip(ids, docs):
-        near = np.flatnonzero(marks[x])
-        keep = np.zeros(len(x), bool)
-        keep[:40] = True
-        for k in near:
-            keep[max(0, k - 6) : k + 7] = True
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2], edge[1::2]):
-            seqs.append(x[a:b])
-            gold.append((marks[x[a:b]] & bool(toxic)).astype(float))
+    seqs = [x for x in ids if len(x)]
+    gold = [(marks[x] & bool(t)).astype(float) for x, t in zip(ids, toxic) if len(x)]
     total = sum(len(s) for s in seqs)
     flat = np.concatenate(seqs)
     firsts = np.cumsum([0, *(len(s) for s in seqs)])
-    inner = np.ones(total, bool)
-    inner[firsts[:-1]] = False
-    inner = np.flatnonzero(inner)  # tokens with a token before
+    begins = np.zeros(total, bool)
+    begins[firsts[:-1]] = True
+    inner = np.flatnonzero(~begins)  # tokens with a token before
     y = np.concatenate(gold)
     n = len(rows)
     pairs = np.zeros((2, 2))
@@ -269,8 +304,7 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     crf.own[0] = -2.0
     for step in range(1, STEPS + 1):
         crf.refresh(whole=True)
-        emit = [crf.emissions(s) for s in seqs]
-        m = np.concatenate(crf.marginals(emit))
+        m = crf.chain(crf.emissions(flat, inner), begins)
         gap = y - m
         grad = {
             "own": np.bincount(flat, gap, n) @ has,
@@ -279,7 +313,7 @@ def train(docs: list[tuple[str, int]]) -> Crf:
         }
         grad["own"][0] = gap.sum()
         # expected transitions, from neighbouring marginals and their joint under the field
-        joint = _joint(crf, emit, m, inner)
+        joint = _joint(crf, m, inner)
         grad["trans"] = pairs - joint
         for k, g in grad.items():
             g = g / total - L2 * getattr(crf, k) / max(1, len(docs) ** 0.5)
@@ -289,7 +323,7 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     crf.refresh(whole=True)
     found = crf.marginals([crf.emissions(x) for x in ids])
     x = np.array([crf.evidence(m) for m in found])
-    t = np.array([k for _, k in docs], float)
+    t = np.array(toxic, float)
     w = np.zeros(5)
     for _ in range(30):  # Newton steps on the penalised log-likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -299,7 +333,7 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     return crf
 
 
-def _joint(crf: Crf, emit: list[np.ndarray], m: np.ndarray, inner: np.ndarray) -> np.ndarray:
+def _joint(crf: Crf, m: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Expected transitions between neighbours, given the marginals.
 
     With both ends' marginals fixed, the joint of two states has one free number, and its odds
@@ -315,24 +349,35 @@ def _joint(crf: Crf, emit: list[np.ndarray], m: np.ndarray, inner: np.ndarray) -
     return np.array([[(1 - p - q + both).sum(), (q - both).sum()], [(p - both).sum(), both.sum()]])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 5) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled texts outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: int | None = 5) -> DataFrame:
+    """At most SAMPLE labelled texts outside the held-out fold, SAMPLE_CHARS code points in all: text, toxic.
 
-    The labels are sampled first, by a hash of their id, so that a bounded list of ids meets
-    the documents and no text is shuffled.
+    Only ids, hashes and lengths are joined and sorted; the chosen ones, of bounded number, then
+    meet the documents by broadcast.  A text that would pass SAMPLE_CHARS is left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     if held_out:
         known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic")
-    out, size = [], 0
-    for r in chosen.orderBy("h", "text", "toxic").limit(SAMPLE).toLocalIterator():
-        size += len(r["text"])
-        if size > SAMPLE_CHARS:
-            break
-        out.append((r["text"], r["toxic"]))
-    return out
+    hashed = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text"))
+    sized = hashed.select("doc_id", "h", F.length("text").alias("n")).join(known, "doc_id").groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic"))
+    chosen, size = [], 0
+    for r in sized.orderBy("h", "doc_id").limit(SAMPLE).collect():
+        if size + r["n"] <= SAMPLE_CHARS:
+            size += r["n"]
+            chosen.append((r["doc_id"], r["h"], r["toxic"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int")
+    return hashed.join(F.broadcast(wanted), ["doc_id", "h"]).select("doc_id", "h", "text", "toxic").dropDuplicates(["doc_id", "h"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, held_out: int | None = 5) -> Crf:
+    """The model of the training rows, fitted in one task: the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h, d, x, t) for b in batches for d, h, x, t in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([train([(x, t) for _, _, x, t in rows]).dump()])], names=["model"])
+
+    found = training_rows(docs, labels, held_out).repartition(1).mapInArrow(run, "model string").collect()
+    return Crf.load(found[0][0]) if found else _constant([])
 
 
 def scores(docs: DataFrame, model: Crf) -> DataFrame:
@@ -365,14 +410,14 @@ def toxic_spans(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = train(training_rows(docs, labels))
+    model = fitted(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents scored under the threshold, with their columns."""
-    model = train(training_rows(docs, labels))
+    model = fitted(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
     at = docs.columns.index("text")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -148,7 +149,7 @@ def test_toxicity_on_held_out_rows(spark, table, odd):
     right = sum(r.predicted == r.toxic for r in got)
     assert got and right >= 0.95 * len(got)
     assert all(0 <= r.score <= 1 for r in got)
-    model = toxicity.train(toxicity.training_rows(docs, labels))
+    model = toxicity.fitted(docs, labels)
     spans = toxicity.toxic_spans(docs, model).limit(20).collect()
     assert spans and all(s.start < s.end for s in spans)
     assert toxicity.judge(table, labels.limit(0)).filter("score < 1e-12 AND predicted = 0").count() == len(odd)
@@ -158,6 +159,49 @@ def test_toxicity_on_held_out_rows(spark, table, odd):
     assert toxicity.drop_toxic(again, labels).columns == docs.columns
 
 
+def test_marginals_and_gradients_equal_enumeration():
+    rng = np.random.default_rng(4)
+    crf = toxicity.Crf(["a", "b"], {"own": [0.3, -1.0, 2.0], "before": [0.0, 0.7, -0.4], "after": [0.0, -0.2, 0.9], "trans": [[0.5, -1.2], [0.1, 1.4]]})
+    chains = [rng.normal(0, 3, n) for n in (1, 0, 7, 2, 1, 9, 0)]
+    found = crf.marginals(chains)
+    flat = np.concatenate(chains)
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum([0, 1, 7, 2, 1])] = True
+    inner = np.flatnonzero(~first)
+    expected = np.zeros((2, 2))
+    for e, m in zip(chains, found):
+        total, toxic, moves = 0.0, np.zeros(len(e)), np.zeros((2, 2))
+        for tags in itertools.product((0, 1), repeat=len(e)):
+            t = np.array(tags, int)
+            weight = math.exp((e * t).sum() + sum(crf.trans[a, b] for a, b in zip(t, t[1:])))
+            total += weight
+            toxic += weight * t
+            for a, b in zip(t, t[1:]):
+                moves[a, b] += weight
+        assert len(m) == len(e) and np.allclose(m, toxic / total if len(e) else m)
+        expected += moves / total
+    assert np.allclose(toxicity._joint(crf, np.concatenate(found), inner), expected)
+    long = rng.normal(0, 8, 30_000)
+    assert np.allclose(crf.marginals([long[:9], long])[0], crf.marginals([long[:9]])[0])
+    ratio = slow = np.exp(long[0])
+    (a, b), (c, d) = np.exp(crf.trans - crf.trans.max())
+    p, q, s, t = np.exp(long) * d, np.exp(long) * b, np.full(len(long), c), np.full(len(long), a)
+    p[0], q[0], s[0], t[0] = 0, ratio, 0, 1
+    for k, r in enumerate(toxicity._ratios(p, q, s, t)):
+        slow = slow if not k else math.exp(long[k]) * (b + slow * d) / (a + slow * c)
+        assert math.isclose(r, slow, rel_tol=1e-9)
+
+
+def test_toxicity_sample_is_of_documents_with_labels(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, f"{some(rng, 20)} {('vile nasty brute' if k % 2 else 'calm gentle soul')} {some(rng, 20)}", k) for k in range(300)], "doc_id long, text string, h int")
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = toxicity.training_rows(docs.union(docs), labels).collect()
+    assert len(rows) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(300))
+    judged = toxicity.judge(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in judged) and len(judged) == 300
+
+
 def test_records_equal_the_tokenizer(spark, table, odd, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     peer, made = Tokenizer.from_file(path), records.Encoder(path)
