@@ -15,11 +15,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Only where the session names none, as in tests on one machine, a temporary folder is set.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
@@ -31,13 +34,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` has written."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` has written."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Sizes from here on stand for a plan whose size the optimizer does not know.
