@@ -4,6 +4,11 @@ A stage takes what the one before has written and returns a table; all but the l
 the columns of documents.  Toxic documents go; one document of each group of near duplicates
 stays; passages that an earlier document has are cut out of texts; documents that hold a
 benchmark's item go; what is left is encoded.
+
+Cases: documents with null or empty texts are clean and stay, as do rows with null ids; equal rows
+with one id become one row where near duplicates go; ties between near duplicates go to the
+smaller id; an empty table passes every stage; other columns, of any name, stay as they are until
+the last stage, which returns those of ``documents`` without the text.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, forest, substring, toxicity
-from millrace.sources.scratch import scratch_dir
+from millrace.sources.scratch import drop, scratch_dir
 from millrace.sources.ship import ship
 
 #: Percent of the union that two documents' shingles share to be near duplicates.
@@ -63,9 +68,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     top = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
+        if before is not None:  # what the stage before has written is no longer asked for
+            drop(before)
+        before = docs
     return docs
