@@ -16,12 +16,18 @@ their group.  So every component has its hubs, the classes with the most confirm
 a class with an unconfirmed candidate in another component is compared with that component's
 hubs, again and again until no round adds a link.  This is linear in the classes.
 
-What is left between components is found without loss by prefixes: sets of n shingles at the
-threshold t share one of their first n - ceil(t * n) + 1 shingles in any order of all shingles.
+What is left between components is found without loss by prefixes, in any order of all shingles.
+Two sets of n and m shingles at the threshold t share a = ceil(t * (n + m) / (1 + t)) or more, so the
+first shingle that they share is among the first n - a + 1 of the one and m - a + 1 of the other.
 The order is by estimated frequency, so text that many documents share comes last.  For each
 shingle in prefixes of several components, members of all but its most frequent component are
-paired with those of other components, and pairs with too few common prefix shingles to reach the
-threshold are dropped; every other pair is confirmed.
+paired with those of other components where both places allow it, and pairs whose whole prefixes
+share too little for the threshold are dropped; every other pair is confirmed.
+
+Cases: a null text is empty and, like one without words, has an empty set and no link; equal
+sets, repeated rows and rows with one id are one class or component; a null id links with
+nothing; ties go to the smaller id; an empty table gives an empty result; columns of the input
+of any name stay as they are.
 
 Nothing is collected: sorting is a range partition (a region may be split), pairs are compared
 as a stream sorted by their centre, and centres with many partners are salted.
@@ -39,14 +45,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm._text import shingle_set
 from millrace.operators.components import connected_components
-from millrace.sources.scratch import drop, join_keys, materialize
+from millrace.sources.scratch import drop, join_keys, materialize, spare
 
 TREES, DEPTH, LEAST, REACH = 12, 8, 2, 4
 SHINGLE, NUMERATOR, HUBS = 5, 85, 3
-#: Buckets and classes of the frequencies that order shingles; results don't depend on them.
-ORDER_BITS, ORDER_CLASSES = 18, 50_000
-#: Partners of a centre in one salt.
-SALT = 256
+#: Buckets and documents of the frequencies that order shingles; results don't depend on them.
+ORDER_BITS, ORDER_DOCS = 20, 8_000
+#: Partners of a centre in one salt; rows of a shingle in one salt.
+SALT, KEY_SALT = 64, 1_000
 
 _R = np.random.default_rng(85)
 _A = (_R.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -66,12 +72,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row a document: id, hash of the text, size and 128-bit hash of the set, signature."""
+def _sets(docs: DataFrame, shingle: int, numerator: int, order) -> DataFrame:
+    """A row a document: id, hash of the text, size and 128-bit hash of the set, signature, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = order.value
         for b in batches:
-            n, lo, hi, sig = [], [], [], []
+            n, lo, hi, sig, first, ends = [], [], [], [], [np.empty(0, np.uint64)], [0]
             for x in b.column(2):
                 s = shingle_set(x.as_py(), shingle)
                 d = xxhash.xxh3_128_digest(s.tobytes())
@@ -79,9 +86,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 lo.append(int.from_bytes(d[:8], "little", signed=True))
                 hi.append(int.from_bytes(d[8:], "little", signed=True))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary())], names=["id", "th", "n", "lo", "hi", "sig"])
+                if len(s):
+                    usual = np.argsort(counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], kind="stable")
+                    first.append(s[usual[: len(s) + 1 + -numerator * len(s) // 100]])
+                ends.append(ends[-1] + (len(first[-1]) if len(s) else 0))
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), prefix], names=["id", "th", "n", "lo", "hi", "sig", "prefix"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, lo long, hi long, sig binary")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, lo long, hi long, sig binary, prefix array<long>")
 
 
 def _forest(classes: DataFrame) -> DataFrame:
@@ -161,7 +173,7 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame, kernel, schema: str, payloa
     ids = pairs.select(F.col("a").alias("id"), F.col("ath").alias("th")).union(pairs.select("b", "bth")).distinct()
     texts = join_keys(docs.select("id", "th", "text"), ids, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     texts = materialize(texts, "texts")
-    salted = pairs.join(per, ["a", "ath"]).withColumn("salt", F.pmod(F.xxhash64("b", "bth"), F.col("salts")).cast("int"))
+    salted = join_keys(pairs, per, ["a", "ath"], "inner").withColumn("salt", F.pmod(F.xxhash64("b", "bth"), F.col("salts")).cast("int"))
     members = salted.join(texts.select(F.col("id").alias("b"), F.col("th").alias("bth"), "text"), ["b", "bth"]).select("a", "ath", "salt", F.lit(1).alias("kind"), "b", "bth", "text", *extra)
     heads = centres.join(texts.select(F.col("id").alias("a"), F.col("th").alias("ath"), "text"), ["a", "ath"]).select("a", "ath", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), F.col("ath").alias("bth"), "text", *[F.lit(None).cast(dict(pairs.dtypes)[c]).alias(c) for c in extra])
     dealt = heads.unionByName(members).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2), "a", "ath", "salt").sortWithinPartitions("a", "ath", "salt", "kind")
@@ -210,56 +222,46 @@ def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
     piece = 1 << (ORDER_BITS - 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << ORDER_BITS, np.int64)
+        total = np.zeros(1 << ORDER_BITS, np.int32)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount((shingle_set(x.as_py(), shingle) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(64)], pa.binary())], names=["piece", "counts"])
+                np.add.at(total, (shingle_set(x.as_py(), shingle) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(64)], pa.binary())], names=["piece", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
+        counts = sum(np.frombuffer(x.as_py(), np.int32) for x in t.column("counts"))
         return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
     schema = "piece int, counts binary"
-    out = np.zeros((64, piece), np.int64)
-    for k, counts in texts.select("text").mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect():
-        out[k] = np.frombuffer(counts, np.int64)
+    out = np.zeros((64, piece), np.int32)
+    for k, counts in texts.select("text").coalesce(8).mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect():
+        out[k] = np.frombuffer(counts, np.int32)
     return out.ravel()
 
 
-def _prefixes(texts: DataFrame, order: np.ndarray, shingle: int, numerator: int) -> DataFrame:
-    """A row a shingle of the prefix of each set: key, id, th, size of the set, component."""
-    shared = texts.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for b in batches:
-            keys, at, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for k, x in enumerate(b.column(3)):
-                s = shingle_set(x.as_py(), shingle)
-                n = len(s)
-                first = s[np.lexsort((s, counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]))[: n + 1 + -numerator * n // 100]]
-                keys.append(first)
-                at.append(np.full(len(first), k))
-                sizes.append(np.full(len(first), n, np.int32))
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(sizes)), b.column(2).take(at)], names=["key", "id", "th", "n", "component"])
+def _pairs_between(owners: DataFrame, numerator: int) -> DataFrame:
+    """Pairs of sets of different components that may reach the threshold, from their prefixes; none that does is left out.
 
-    return texts.select("id", "th", "component", "text").mapInArrow(run, "key long, id long, th long, n int, component long")
-
-
-def _pairs_between(rows: DataFrame, numerator: int) -> DataFrame:
-    """Pairs of sets of different components that may reach the threshold, from their prefixes; none that does is left out."""
+    ``owners`` has id, th, n, prefix and component of every class.
+    """
+    keys = owners.select(F.explode("prefix").alias("key"), "component").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    keys = materialize(keys, "mixed-keys")
+    placed = owners.select("id", "th", F.col("n").cast("int").alias("n"), "component", F.posexplode("prefix").alias("pos", "key"))
+    rows = materialize(join_keys(placed, keys, ["key"], "inner"), "mixed")
     counted = rows.groupBy("key", "component").count()
-    mixed = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("largest")).filter("parts > 1").drop("parts")
-    x = materialize(rows.join(mixed, "key"), "mixed")
-    y = x.filter("component <> largest").select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "th", "n", "component")])
+    largest = counted.groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("largest"), F.ceil(F.sum("count") / KEY_SALT).cast("int").alias("salts"))
+    x = join_keys(rows, largest, ["key"], "inner").withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.col("salts")).cast("int"))
+    y = join_keys(rows, largest, ["key"], "inner").filter("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = y.select("key", "salt", *[F.col(c).alias(f"{c}2") for c in ("id", "th", "n", "pos", "component")])
     one, two = F.struct(F.col("id").alias("i"), F.col("th").alias("h")), F.struct(F.col("id2").alias("i"), F.col("th2").alias("h"))
-    met = x.join(y, "key").filter(F.col("component") != F.col("component2")).filter((F.col("component") == F.col("largest")) | (one < two)).filter(100 * F.least("n", "n2") >= numerator * F.greatest("n", "n2"))
-    ends = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), F.least("n", "n2").alias("small"), F.greatest("n", "n2").alias("large"))
-    common = ends.groupBy("x", "y", "small", "large").count()
-    most = F.col("count") + F.ceil(numerator * F.col("large") / 100) - 1  # shingles that the two sets can share
-    return common.filter(most * (100 + numerator) >= numerator * (F.col("small") + F.col("large"))).select(F.col("x.i").alias("a"), F.col("x.h").alias("ath"), F.col("y.i").alias("b"), F.col("y.h").alias("bth"))
+    least = numerator * (F.col("n") + F.col("n2"))  # (100 + numerator) times the shingles that the two must share
+    met = x.join(y, ["key", "salt"]).filter((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("largest")) | (one < two)) & ((F.col("n") - F.col("pos")) * (100 + numerator) >= least) & ((F.col("n2") - F.col("pos2")) * (100 + numerator) >= least))
+    pairs = materialize(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct().select(F.col("x.i").alias("a"), F.col("x.h").alias("ath"), F.col("y.i").alias("b"), F.col("y.h").alias("bth")), "met")
+    drop(keys, rows)
+    a, b = (owners.select(F.col("id").alias(k), F.col("th").alias(f"{k}th"), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
+    most = F.size(F.array_intersect("pa", "pb")) + F.ceil(numerator * F.greatest("na", "nb") / 100) - 1  # shingles that the two can share
+    return pairs.join(a, ["a", "ath"]).join(b, ["b", "bth"]).filter(most * (100 + numerator) >= numerator * (F.col("na") + F.col("nb"))).select("a", "ath", "b", "bth")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
@@ -273,9 +275,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    base = materialize(_sets(source, shingle), "sets")
+    some = -(-source.count() // ORDER_DOCS) or 1
+    order = spark.sparkContext.broadcast(_frequencies(source.filter(F.pmod(F.xxhash64("id"), F.lit(some)) == 0), shingle))
+    base = materialize(_sets(source, shingle, numerator, order), "sets")
     filled = base.filter("n > 0 AND id IS NOT NULL")
-    classes = materialize(filled.groupBy("lo", "hi").agg(F.min(F.struct("id", "th")).alias("r"), F.first("sig").alias("sig")).select("lo", "hi", "r.id", "r.th", "sig"), "classes")
+    least = F.min(F.struct("id", "th")).alias("r")
+    classes = materialize(filled.groupBy("lo", "hi").agg(least, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("lo", "hi", "r.id", "r.th", "n", "sig", "prefix"), "classes")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     trees = _forest(classes).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     pairs = materialize(_neighbours(trees, least_agreement(numerator / 100)).distinct(), "pairs")
@@ -299,32 +304,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         new = sides.join(ranked, "component").select(F.least(F.struct(F.col("a").alias("i"), F.col("ath").alias("h")), F.struct(F.col("node").alias("i"), F.col("nth").alias("h"))).alias("x"), F.greatest(F.struct(F.col("a").alias("i"), F.col("ath").alias("h")), F.struct(F.col("node").alias("i"), F.col("nth").alias("h"))).alias("y"))
         new = new.select(F.col("x.i").alias("a"), F.col("x.h").alias("ath"), F.col("y.i").alias("b"), F.col("y.h").alias("bth")).distinct().join(tested.select(ends), ends, "left_anti")
         new = materialize(new, "hub-pairs")
-        if new.isEmpty():
-            break
-        more = materialize(_confirm(new, source, shingle, numerator), "tested")
-        tested = materialize(tested.unionByName(more), "tested")
-        if more.filter("linked").isEmpty():
+        more = None if new.isEmpty() else materialize(_confirm(new, source, shingle, numerator), "tested")
+        if more is None or more.filter("linked").isEmpty():
+            drop(new, *([more] if more else []))
             break
+        whole = materialize(tested.unionByName(more), "tested")
+        drop(new, more, tested, found)
+        tested = whole
     # whatever link is left between components
-    owners = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "th", F.coalesce("component", "id").alias("component"))
+    owners = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "th", "n", "prefix", F.coalesce("component", "id").alias("component"))
     owners = materialize(owners, "owners")
-    texts = join_keys(source, owners, ["id", "th"], "inner")
-    if not again.isEmpty():
-        texts = texts.dropDuplicates(["id", "th"])
-    few = owners.filter(F.pmod(F.xxhash64("th"), F.lit(-(-owners.count() // ORDER_CLASSES) or 1)) == 0)
-    order = _frequencies(join_keys(source, few.select("id", "th"), ["id", "th"], "left_semi"), shingle)
-    rows = materialize(_prefixes(texts, order, shingle, numerator), "prefixes")
-    rest = materialize(_pairs_between(rows, numerator).join(tested.select(ends), ends, "left_anti"), "pairs-between")
-    drop(rows)
+    rest = materialize(_pairs_between(owners, numerator).join(tested.select(ends), ends, "left_anti"), "pairs-between")
     if not rest.isEmpty():
         last = materialize(_confirm(rest, source, shingle, numerator).filter("linked"), "tested")
         if not last.isEmpty():
+            drop(found)
             found = materialize(connected_components(tested.filter("linked").unionByName(last).select("a", "b").union(same)), "components")
+        drop(last)
     reps = classes.select("lo", "hi", F.col("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n", "lo", "hi").join(reps, ["lo", "hi"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    result = materialize(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "near-duplicates")
+    drop(base, classes, owners, rest, tested, found)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR) -> DataFrame:
@@ -333,14 +336,14 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows with a null id stay.  Columns are those of the input.
     """
     found = near_duplicates(docs, key, text, numerator=numerator)
-    found = materialize(found.select(F.col("doc_id").alias("__id"), "kept"), "kept")
-    gone = found.filter("NOT kept").select("__id").distinct()
+    ident, place = spare(docs, "id"), spare(docs, "place")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(ident)).distinct()
     names = [f"`{c}`" for c in docs.columns]
-    out = join_keys(docs.withColumn("__id", F.col(key).cast("long")), gone, ["__id"], "left_anti")
-    if not found.filter("kept AND __id IS NOT NULL").groupBy("__id").count().filter("count > 1").isEmpty():
-        first = Window.partitionBy("__id").orderBy(text)
-        once = out.filter("__id IS NOT NULL").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-        out = once.unionByName(out.filter("__id IS NULL"))
+    out = join_keys(docs.withColumn(ident, F.col(key).cast("long")), gone, [ident], "left_anti")
+    if not found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        first = Window.partitionBy(ident).orderBy(text)
+        once = out.filter(F.col(ident).isNotNull()).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
+        out = once.unionByName(out.filter(F.col(ident).isNull()))
     return out.select(*names)
 
 
