@@ -1,16 +1,19 @@
 """Media columns: 8-bit audio, its features and their time spans.
 
 A payload is stored losslessly as the samples of a mono 8-bit PCM WAV file.  From the
-samples read back: a polyphase resampler halves the rate (windowed-sinc low-pass, one
-matrix product a block), overlapped frames give log-mel filterbanks, and a hysteresis
+samples read back: a polyphase resampler changes the rate by UP / DOWN (a windowed-sinc
+low-pass, of which every output takes the phase that its place asks for; one matrix product a
+block of UP x BLOCK outputs), overlapped frames give log-mel filterbanks, and a hysteresis
 gate on frame energy cuts the sound into segments (a segment opens above the high
 threshold, lasts while energy stays above the low one, both set by the file's own
-quantiles).  Features are kept as fixed-shape tensors [FRAMES, MELS] of float32, each with its
-time span; the last one is zero-padded and its span ends where the sound ends.
+quantiles).  Features are stored as Arrow fixed-shape tensors [FRAMES, MELS] of float32, each
+with its time span (``store``), and read back from there; the last tensor is zero-padded and its
+span ends where the sound ends.
 
 A file is handled on its own with fixed shapes, so equal texts give equal values.
-Cases: null counts as the empty text, whose payload is 64 zero bytes; long texts are
-handled in blocks of samples, so memory does not grow with a text beyond its features.
+Cases: null counts as the empty text, whose payload is 64 zero bytes; a text of any length is
+handled whole, in memory in proportion to it, frames by blocks; repeated rows give repeated rows;
+of other columns, of any name, nothing is read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rate of the stored samples, and of the features after resampling by UP / DOWN.
-RATE, UP, DOWN = 16_000, 1, 2
-TAPS, BLOCK = 32, 64
-FRAME, HOP, FFT, MELS = 200, 80, 256, 24
+RATE, UP, DOWN = 16_000, 3, 4
+#: Taps of a phase, and blocks of UP outputs in a matrix product.
+TAPS, BLOCK = 16, 16
+FRAME, HOP, FFT, MELS = 300, 120, 512, 24
 #: Frames of a tensor, and frames handled at once.
 FRAMES, CHUNK = 128, 4096
 QUIET, LOUD = 0.3, 0.7
@@ -63,12 +67,15 @@ def from_wav(media: bytes) -> bytes:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Resampling matrix of a block, window of a frame, mel filterbank."""
-    t = np.arange(TAPS) - (TAPS - 1) / 2
-    h = np.sinc(t / DOWN) / DOWN * np.hamming(TAPS)
-    h /= h.sum()
-    block = np.zeros((BLOCK * DOWN + TAPS - DOWN, BLOCK), np.float32)
-    for k in range(BLOCK):  # a column is the filter at one output's phase
-        block[k * DOWN : k * DOWN + TAPS, k] = h
+    # the low-pass at UP times the rate; output k takes the taps of phase k * DOWN mod UP from input k * DOWN div UP on
+    t = np.arange(TAPS * UP) - (TAPS * UP - 1) / 2
+    h = np.sinc(t / max(UP, DOWN)) * np.hamming(TAPS * UP)
+    phases = h.reshape(TAPS, UP)[::-1]
+    phases = phases / phases.sum(axis=0)
+    block = np.zeros((BLOCK * DOWN + TAPS, BLOCK * UP), np.float32)
+    for k in range(BLOCK * UP):
+        at, phase = divmod(k * DOWN, UP)
+        block[at : at + TAPS, k] = phases[:, phase]
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(60), mel(RATE * UP / DOWN / 2), MELS + 2) / 2595) - 1)
     bins = np.fft.rfftfreq(FFT, DOWN / UP / RATE)
@@ -78,12 +85,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """Half the rate: every block of outputs is a product of its stretch of inputs with the filter's phases."""
+    """The sound at UP / DOWN of its rate: every block of outputs is a product of its stretch of inputs with the filter's phases."""
     block = _tables()[0]
-    n = -(-len(samples) // DOWN)
-    blocks = -(-n // BLOCK)
-    padded = np.zeros(blocks * BLOCK * DOWN + TAPS - DOWN, np.float32)
-    padded[(TAPS - DOWN) // 2 : (TAPS - DOWN) // 2 + len(samples)] = samples
+    n = -(-len(samples) * UP // DOWN)
+    blocks = -(-n // (BLOCK * UP))
+    padded = np.zeros(blocks * BLOCK * DOWN + TAPS, np.float32)
+    padded[TAPS // 2 : TAPS // 2 + len(samples)] = samples[: len(padded) - TAPS // 2]
     stretch = np.lib.stride_tricks.sliding_window_view(padded, len(block))[:: BLOCK * DOWN]
     return (stretch @ block).reshape(-1)[:n]
 
@@ -143,13 +150,42 @@ def media_of(text: str | None) -> Media:
     return Media(n, media, back, tensors, spans, [(a * step, min(end, b * step)) for a, b in segments(energy)], frames)
 
 
-def digest(m: Media) -> str:
-    """Shape, segments, mean log-mels and a checksum of the rounded tensors, as one line."""
-    mels = m.tensors.reshape(-1, MELS)[: m.frames]
-    rounded = np.round(m.tensors * 16).astype("<i2")
+def store(sounds: list[Media]) -> pa.RecordBatch:
+    """The features of some sounds: a row a fixed-shape tensor, with the sound's place in the list and the tensor's span."""
+    at = np.repeat(np.arange(len(sounds)), [len(m.tensors) for m in sounds])
+    spans = np.array([s for m in sounds for s in m.spans], float).reshape(-1, 2)
+    flat = np.concatenate([np.empty(0, np.float32), *(m.tensors.reshape(-1) for m in sounds)])
+    tensors = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * MELS))
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(spans[:, 0]), pa.array(spans[:, 1]), tensors], names=["sound", "start_s", "end_s", "tensor"])
+
+
+def stored_bytes(batch: pa.RecordBatch) -> pa.Buffer:
+    """Arrow's own file of a batch."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
+
+
+def stored_tensors(data: pa.Buffer, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tensors [k, FRAMES, MELS] and spans [k, 2] of each of n sounds, read back from such a file."""
+    batch = pa.ipc.open_file(data).get_batch(0)
+    cuts = np.searchsorted(batch.column("sound").to_numpy(), np.arange(1, n))
+    spans = np.stack([batch.column(c).to_numpy() for c in ("start_s", "end_s")], axis=1)
+    return list(zip(np.split(batch.column("tensor").to_numpy_ndarray(), cuts), np.split(spans, cuts)))
+
+
+def digest(m: Media, tensors: np.ndarray, spans: np.ndarray) -> str:
+    """Shape, time, segments, mean log-mels and a checksum of the rounded stored tensors, as one line."""
+    mels = tensors.reshape(-1, MELS)[: m.frames]
+    rounded = np.round(tensors * 16).astype("<i2")
     voiced = sum(b - a for a, b in m.segments)
     mean = ",".join(f"{x:.2f}" for x in mels.mean(axis=0))
-    return f"tensors={len(m.tensors)}x{FRAMES}x{MELS};frames={m.frames};segments={len(m.segments)};voiced={voiced:.3f};mean={mean};crc={zlib.crc32(rounded):08x}"
+    return f"tensors={len(tensors)}x{FRAMES}x{MELS};frames={m.frames};end={spans[-1, 1]:.3f};segments={len(m.segments)};voiced={voiced:.3f};mean={mean};crc={zlib.crc32(rounded):08x}"
+
+
+#: The stored type, and sounds stored in one file.
+TENSOR, GROUP = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), 50
 
 
 def audio_digests(df: DataFrame) -> DataFrame:
@@ -159,13 +195,13 @@ def audio_digests(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
-        for b in batches:
-            rows = []
-            for x in b.column(1):
-                m = media_of(x.as_py())
-                rows.append((m.n_bytes, len(m.payload), sha(m.payload).hexdigest(), zlib.crc32(m.payload[-64:]), len(m.media), sha(m.media).hexdigest(), digest(m), len(m.segments)))
-            cols = list(zip(*rows)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(cols, kinds[1:]))], names=names)
+        for whole in batches:
+            for k in range(0, whole.num_rows, GROUP):
+                b = whole.slice(k, GROUP)
+                sounds = [media_of(x.as_py()) for x in b.column(1)]
+                back = stored_tensors(stored_bytes(store(sounds)), len(sounds))
+                rows = [(m.n_bytes, len(m.payload), sha(m.payload).hexdigest(), zlib.crc32(m.payload[-64:]), len(m.media), sha(m.media).hexdigest(), digest(m, *x), len(m.segments)) for m, x in zip(sounds, back)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds[1:]))], names=names)
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments long")
 
@@ -192,5 +228,4 @@ def audio_tensors(df: DataFrame) -> DataFrame:
 
 def as_tensors(column: pa.ListArray) -> pa.ExtensionArray:
     """A list column of flat tensors as Arrow fixed-shape tensors."""
-    flat = pa.FixedSizeListArray.from_arrays(column.values, FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), flat)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(column.values, FRAMES * MELS))
