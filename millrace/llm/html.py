@@ -2,17 +2,22 @@
 
 A tolerant scanner cuts a page into leaf blocks: text between block-level tags, with inline
 tags and comments taken out, raw elements (scripts, styles, templates, form controls, the head)
-left out, character references decoded and white space made single.  A block is a vector of
+left out, character references decoded and white space made single.  Formulas and the contents of
+noscript, object and canvas elements are text like any other.  A block is a vector of
 its tag path (tags, and the words of classes, ids and roles, hashed), of its hashed words, and
 of a few measures (length, share of link text, punctuation).  A bidirectional LSTM in numpy
 reads a page's blocks in order, so every block is classified with the whole page as context.
 
 There are no labelled pages, so the model is trained on pages that a seeded generator makes,
 whose blocks are known: articles in several kinds of containers among menus, headers, footers,
-sidebars, notices, adverts, forms, related links and reader comments, in invented words.
+sidebars, notices, adverts, forms, related links and reader comments, in invented words.  Some pages
+name nothing, or name parts by meaningless words, so that place and text must tell; some are an
+article alone.
 
 Cases: null and empty pages have an empty text; a page of any length is handled whole; tags
-that are not closed end with their parent; an unclosed raw element runs to the end.
+that are not closed end with their parent; an unclosed raw element runs to the end; equal pages
+have equal texts, repeated rows stay repeated; an empty table gives an empty result; of other
+columns, of any name, nothing is read or returned.
 """
 
 from __future__ import annotations
@@ -29,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORD, MEASURES, HIDDEN = 160, 32, 6, 16
+PATH, WORD, MEASURES, HIDDEN = 384, 64, 6, 28
 INPUT = PATH + WORD + MEASURES
-PAGES, EPOCHS, TRAIN_BATCH, RATE = 700, 8, 50, 0.02
+PAGES, EPOCHS, TRAIN_BATCH, RATE = 3000, 10, 40, 0.015
 #: Pages labelled together; outermost elements that a block's path has.
 BATCH, PATH_DEPTH = 250, 500
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle semantics annotation canvas noscript object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea select button svg math iframe object canvas title head".split())
+_RAW = frozenset("script style template textarea select button svg iframe title head".split())
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
@@ -97,7 +102,7 @@ def blocks(page: str | None) -> list[Block]:
         tag = m[2].lower()
         if tag in _RAW:
             if not m[1]:
-                if tag not in ("button", "svg", "math"):
+                if tag not in ("button", "svg"):
                     flush()
                 end = _END[tag].search(page, at) if not m[3].endswith("/") else m
                 if end is None and tag == "head":  # a head without an end stops at the body
@@ -270,7 +275,7 @@ _OUTER = {
     "talk": ["section class='comments'", "div id='comments'", "div class='comment list'", "div class='discussion'", "ol class='comments'", "section class='replies'", "div class='reviews'"],
     "share": ["div class='share'", "div class='social'", "ul class='tags'", "div class='author byline meta'"],
 }
-_MAIN = ["article", "article class='post'", "main", "main><article", "div class='content'", "div id='content'", "div class='article'", "div class='post body'", "div class='entry content'", "div class='story'", "section class='article body'", "div role='main'", "div class='text'", "main class='page'"]
+_MAIN = ["article", "article class='post'", "main", "main><article", "main><section", "main><div", "section", "div class='content'", "div id='content'", "div class='article'", "div class='post body'", "div class='entry content'", "div class='story'", "section class='article body'", "div role='main'", "div class='text'", "main class='page'"]
 _SAID = {"note": "cookies privacy accept consent settings subscribe newsletter email sign up", "foot": "copyright rights reserved terms privacy contact", "form": "search name email password submit login", "talk": "reply comment said says posted ago report", "share": "share tweet facebook tags posted by", "menu": "home about contact news login next previous"}
 
 
@@ -307,44 +312,80 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
 
         wrap("ul", items)
 
+    # the names of a page's parts: the usual ones, none at all, or meaningless ones
+    named = some(0, 12)
+    strange = "".join(syllables[some(0, 16)] for _ in range(2))
+
+    def tag_of(tag: str, plain: str = "div") -> str:
+        if named < 7 or " " not in tag and rng.random() < 0.5:
+            return tag
+        bare = "><".join(t.split()[0] for t in tag.split("><"))
+        return bare if named < 9 else f"{plain} class='{strange}-{some(100, 999)}{syllables[some(0, 16)]}'"
+
     def outer(kind: str) -> None:
-        tag = _OUTER[kind][some(0, len(_OUTER[kind]))]
+        tag = tag_of(_OUTER[kind][some(0, len(_OUTER[kind]))])
         said = _SAID.get(kind, "")
-        if kind in ("menu", "share") or kind in ("head", "foot", "side") and rng.random() < 0.5:
+        if kind in ("menu", "share") or kind in ("head", "foot", "side") and rng.random() < (0.5 if named < 7 else 0.9):
             wrap(tag, lambda: links(2, 9, said))
+        elif named >= 7 and tag.split("><")[0] not in ("nav", "header", "footer", "aside", "form"):  # such a part is told by its words alone
+            put(tag, text(2, 14, 0.15, said or "advertisement sponsored shop now buy offer"), 0)
         elif rng.random() < 0.4:
             put(tag, text(2, 25, 0.15, said), 0)
         else:
             wrap(tag, lambda: paragraphs(1, 6 if kind == "talk" else 4, said))
 
-    def main() -> None:
-        if rng.random() < 0.85:
-            put("h1", text(2, 12, 0.1), 1)
-        for _ in range(some(0, 14)):
+    def parts(n: int) -> None:
+        for _ in range(n):
             r = rng.random()
             body = text(1, 5, 0.4) if rng.random() < 0.25 else text(6, 90, 0.12)
             if rng.random() < 0.2:
                 body = f"<b>{body}</b>" if rng.random() < 0.5 else f"{body} <a href='/y'>{text(1, 3, 0)}</a>"
-            if r < 0.78:
-                put("p", body, 1, rng.random() < 0.85)
-            elif r < 0.84:
+            if r < 0.72:
+                put("p" if rng.random() < 0.95 else "div", body, 1, rng.random() < 0.85)
+            elif r < 0.78:
                 put(f"h{some(2, 5)}", text(1, 8, 0.05), 1)
-            elif r < 0.88:
+            elif r < 0.82:
                 put("blockquote", body, 1)
+            elif r < 0.86:
+                wrap("ul" if rng.random() < 0.7 else "ol", lambda: [put("li", text(2, 20, 0.1), 1) for _ in range(some(1, 5))])
+            elif r < 0.89:
+                wrap("table", lambda: [wrap("tr", lambda: [put("td", text(1, 6, 0), 1) for _ in range(some(1, 4))]) for _ in range(some(1, 4))])
             elif r < 0.92:
-                wrap("ul", lambda: [put("li", text(2, 20, 0.1), 1) for _ in range(some(1, 5))])
-            elif r < 0.95:
-                wrap("table", lambda: wrap("tr", lambda: [put("td", text(1, 6, 0), 1) for _ in range(some(1, 4))]))
+                wrap("figure" if rng.random() < 0.5 else "dl", lambda: put("figcaption" if html[-1] == "<figure>" else "dd", text(2, 14, 0.1), 1))
+            elif r < 0.94:
+                put("pre", text(3, 20, 0.02), 1)
+            elif r < 0.96:
+                wrap("section" if rng.random() < 0.5 else "div", lambda: [put("p", text(6, 60, 0.12), 1) for _ in range(some(1, 4))])
             else:
                 outer(["advert", "share", "note", "side", "form"][some(0, 5)])
 
+    def main() -> None:
+        if rng.random() < 0.8:
+            put("h1", text(2, 12, 0.1), 1)
+        parts(some(0, 14))
+        if rng.random() < 0.1:
+            wrap("ul", lambda: [put("li", text(3, 20, 0.1), 1) for _ in range(some(2, 5))])
+        if named < 7 and rng.random() < 0.15:
+            outer("talk" if rng.random() < 0.7 else "share")
+
+    if rng.random() < 0.12:  # an article and nothing else, in any container or none
+        bare = ["div", "div><div", "main", "section", "article", "main><section", ""][some(0, 7)]
+        if bare:
+            wrap(bare, lambda: main() or parts(some(1, 4)))
+        else:
+            main()
+            parts(some(1, 4))
+        if rng.random() < 0.4:
+            outer("talk" if rng.random() < 0.5 else "foot")
+        return "<html><body>" + "".join(html) + "</body></html>", labels
     for kind, chance in (("note", 0.25), ("head", 0.4), ("menu", 0.8), ("advert", 0.5), ("form", 0.2)):
         if rng.random() < chance:
             outer(kind)
     before = rng.random() < 0.3
     if before:
         outer("side")
-    wrap(_MAIN[some(0, len(_MAIN))] if rng.random() < 0.6 else "article", main)
+    r = rng.random()
+    wrap(tag_of(_MAIN[some(0, len(_MAIN))]) if r < 0.6 else "div><div" if r < 0.7 else "article", main)
     for kind, chance in (("share", 0.2), ("advert", 0.3), ("talk", 0.35), ("side", 0.35), ("form", 0.15), ("note", 0.1), ("menu", 0.15), ("foot", 0.85)):
         if rng.random() < chance:
             outer(kind)
