@@ -9,7 +9,8 @@ token that is its prefix; when nothing fits, the last token is taken back and th
 is marked dead, so each border is given up at most once and the work is linear.
 
 Cases: null counts as the empty text, which has no tokens; a text of any length is
-encoded whole; equal texts give equal ids.
+encoded whole; equal texts give equal ids; repeated rows stay repeated; an empty table gives an
+empty result; other columns stay as they are, but for those of the result's names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ salt.  Memory is one bucket a task; the driver sees one row a bucket, and there
 for each BUCKET_BYTES of input files.
 
 Cases: null text has size 1 and checksum 0; null ids and repeated rows are rows like any
-other; an empty table gives an empty result.  Columns must be orderable (no maps).
+other; an empty table gives an empty output; columns named ``__shard`` and ``__slot`` are replaced
+by the result's, those of any other name stay as they are.  Columns must be orderable (no maps).
 """
 
 from __future__ import annotations
@@ -23,31 +24,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources.scratch import input_bytes, materialize, scratch_dir
+from millrace.sources.scratch import input_bytes, materialize, scratch_dir, spare
 
 #: Input files' bytes in a bucket; times the mean from which a bucket is split.
 BUCKET_BYTES, HOT = 12 << 20, 4
 
 
-def _counts(df: DataFrame) -> dict[int, int]:
-    return {r[0]: r[1] for r in df.groupBy("__bucket").count().collect()}  # a row a bucket
+def _counts(df: DataFrame, bucket: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in df.groupBy(bucket).count().collect()}  # a row a bucket
 
 
-def scatter(df: DataFrame, key: str, text: str, buckets: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """Add ``__bucket``; hot buckets are split.  Returns the rows' count in each bucket too."""
+def scatter(df: DataFrame, key: str, text: str, buckets: int, seed: int, bucket: str) -> tuple[DataFrame, dict[int, int]]:
+    """Add a column of buckets; hot buckets are split.  Returns the rows' count in each bucket too."""
     where = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.crc32(F.coalesce(F.col(text), F.lit("")))), F.lit(buckets)).cast("int")
-    out = df.withColumn("__bucket", where)
-    counts = _counts(out)
+    out = df.withColumn(bucket, where)
+    counts = _counts(out, bucket)
     mean = sum(counts.values()) / buckets
     hot = {b: -(-n // max(1, int(mean))) for b, n in counts.items() if n > HOT * max(mean, 1000)}
     if hot:  # the salt follows the layout of the input, so the rows are written before they are counted
         first = F.lit(buckets)
-        case = F.col("__bucket")
+        case = F.col(bucket)
         for b, ways in sorted(hot.items()):
-            case = F.when(F.col("__bucket") == b, first + F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")).otherwise(case)
+            case = F.when(F.col(bucket) == b, first + F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")).otherwise(case)
             first = first + ways
-        out = materialize(out.withColumn("__bucket", case), "scatter")
-        counts = _counts(out)
+        out = materialize(out.withColumn(bucket, case), "scatter")
+        counts = _counts(out, bucket)
     return out, counts
 
 
@@ -57,22 +58,22 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", te
     Adds ``__shard`` (int) and ``__slot`` (long).
     """
     spark = df.sparkSession
+    df = df.drop("__shard", "__slot")
     out = out or f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // BUCKET_BYTES))
-    dealt, counts = scatter(df, key, text, buckets, seed)
+    bucket = spare(df, "bucket")
+    dealt, counts = scatter(df, key, text, buckets, seed, bucket)
     first, starts = 0, []
     for b in sorted(counts):
         starts.append((b, first))
         first += counts[b]
-    if not starts:
-        return df.withColumn("__shard", F.lit(0)).withColumn("__slot", F.lit(0).cast("long"))
-    n = max(counts) + 1
-    offsets = spark.createDataFrame(starts, "__bucket int, __start long")  # a row a bucket
+    n = max(counts, default=0) + 1
+    offsets = spark.createDataFrame(starts, "bucket int, start long")  # a row a bucket
     row = F.struct(key, *[c for c in df.columns if c != key])
-    gathered = dealt.repartition(n, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    mixed = gathered.sortWithinPartitions("__bucket").select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__row"))
-    place = F.col("__start") + F.col("__at")
-    placed = mixed.join(F.broadcast(offsets), "__bucket").select("__row.*", (place % shards).cast("int").alias("__shard"), F.floor(place / shards).cast("long").alias("__slot"))
-    placed.select(*df.columns, "__slot", "__shard").write.partitionBy("__shard").parquet(out)
+    gathered = dealt.repartition(n, bucket).groupBy(F.col(bucket).alias("bucket")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    mixed = gathered.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
+    place = F.col("start") + F.col("at")
+    placed = mixed.join(F.broadcast(offsets), "bucket").select(*[F.col(f"row.`{c}`") for c in df.columns], F.floor(place / shards).cast("long").alias("__slot"), (place % shards).cast("int").alias("__shard"))
+    placed.write.partitionBy("__shard").parquet(out)
     schema = T.StructType([*df.schema.fields, T.StructField("__slot", T.LongType()), T.StructField("__shard", T.IntegerType())])
     return spark.read.schema(schema).parquet(out)

@@ -19,7 +19,8 @@ in one task; the scored documents are all.
 Cases: null and empty texts have no token and get the score of a document without evidence; a
 document labelled twice counts as toxic if any of its labels says so; without labelled rows,
 with one class only, or without words in them, every score is the share of toxic ones (0 without
-any; within 1e-12).
+any; within 1e-12); repeated rows have equal scores; an empty table gives an empty result; other
+columns, of any name, are not read, and stay as they are where rows are dropped.
 """
 
 from __future__ import annotations
