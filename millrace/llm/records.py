@@ -15,12 +15,14 @@ number of ids, ids before it.  A reader shuffles the index and fetches single fr
 offset with ``read_frame``.
 
 Cases: null text counts as empty and gives a sequence of only the end id; null ids come
-first in the order; repeated ids are ordered by a hash of the text; an empty table gives
-no record and an empty index.
+first in the order; repeated ids are ordered by a hash of the text, and equal rows have equal
+records; the tokenizer's added tokens in a text are tokens, as the library has them; of other
+columns, of any name, nothing is read; an empty table gives no record and an empty index.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,7 +40,16 @@ from pyspark.sql import functions as F
 from millrace.sources.scratch import input_bytes, scratch_dir
 
 #: Text of a file of records, and words remembered by a worker.
-FILE_BYTES, WORDS = 64 << 20, 300_000
+FILE_BYTES, WORDS = 64 << 20, 200_000
+#: The normalizer and the cuts of the tokenizers whose words can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _ODD = "\x1c\x1d\x1e\x1f"
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -97,11 +108,12 @@ class _Recent(dict):
 class Encoder:
     """The tokenizers library behind memos of words and of their letters.
 
-    The tokenizer turns runs of white space into one space, which belongs to no token, so the
-    ids of a text are those of its words one after another; a text with the four separators
-    that Python alone takes for white space goes to the library whole.  It also cuts between
-    letters and ASCII punctuation (but for the apostrophe), so a word of Latin letters with
-    punctuation behind is two lookups.
+    A tokenizer with the normalizer and the cuts above turns runs of white space into one space,
+    which belongs to no token, so the ids of a text are those of its words one after another.  It
+    also cuts between letters and ASCII punctuation (but for the apostrophe), so a word of Latin
+    letters with punctuation behind is two lookups.  What this does not hold for goes to the
+    library whole: any text of another tokenizer, a text with one of its added tokens, and one
+    with the four separators that Python alone takes for white space.
     """
 
     def __init__(self, path: str):
@@ -109,10 +121,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _CUTS
+        self.odd = [*_ODD, *(x["content"] for x in spec["added_tokens"])]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        self.shown = [array(self.code, [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
         self.words = _Recent(self._word, WORDS)
         self.letters = _Recent(self._letters, WORDS)
         self.rest = _Recent(self.whole, 10_000)
@@ -125,7 +140,7 @@ class Encoder:
         """One match of the tokenizer's pattern, composed and lower already, so the model can take its bytes."""
         if not lower.isascii():
             lower = lower.encode().decode("latin-1").translate(_SHOWN)
-        return array(self.code, [x.id for x in self.model.tokenize(lower)]).tobytes()
+        return b"".join([self.shown[x.id] for x in self.model.tokenize(lower)])
 
     def _word(self, word: str) -> bytes:
         m = _PLAIN(word)
@@ -136,7 +151,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned integers of ``width`` bytes."""
-        if any(c in text for c in _ODD):
+        if not self.by_word or any(c in text for c in self.odd):
             return self.whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -154,7 +169,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> Non
     """
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // FILE_BYTES))
-    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # equal rows, which may stand in any order, are told apart by their place, so that they need not share a file
+    ordered = ordered.withColumn("place", F.monotonically_increasing_id())
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("place")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
