@@ -161,15 +161,16 @@ UNION ALL SELECT DISTINCT 'varying_value', canonical_low, canonical_high FROM (S
 
 
 def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gains of both players at every empty cell of every position; ``_GAINS`` has every fifth position only."""
+    """Gains of both players at every empty cell of every position."""
     df = positions(spark, sf_dir)
     return B.with_gains(B.explode_empty(df, F.col("p1").bitwiseOR(F.col("p2")), "cell"))
 
 
-_GAINS = f"""WITH p AS ({POSITIONS_DUCK}), q AS (SELECT trajectory, ply, side, p1, p2, CAST(k AS INT) AS cell, p1 | (CAST(1 AS BIGINT) << k) AS n1, p2 | (CAST(1 AS BIGINT) << k) AS n2 FROM p, range(49) r(k) WHERE ply % 5 = 0 AND ((p1 | p2) >> k) & 1 = 0),
- sc AS ({duck_scores("q", ("p1", "p2", "n1", "n2"))}),
+GAINS = f"""p AS ({POSITIONS_DUCK}), q AS (SELECT trajectory, ply, side, p1, p2, CAST(k AS INT) AS cell, p1 | (CAST(1 AS BIGINT) << k) AS n1, p2 | (CAST(1 AS BIGINT) << k) AS n2 FROM p, range(49) r(k) WHERE ((p1 | p2) >> k) & 1 = 0),
+ bb AS (SELECT p1 AS b FROM p UNION SELECT p2 FROM p UNION SELECT n1 FROM q UNION SELECT n2 FROM q), sc AS ({duck_scores("bb", ("b",))}),
  g AS (SELECT q.*, CASE WHEN side = 0 THEN c.s - a.s ELSE d.s - b.s END AS own_gain, CASE WHEN side = 0 THEN d.s - b.s ELSE c.s - a.s END AS opponent_gain, a.s AS s1, b.s AS s2 FROM q JOIN sc a ON p1 = a.b JOIN sc b ON p2 = b.b JOIN sc c ON n1 = c.b JOIN sc d ON n2 = d.b)
 """
+_GAINS = f"WITH {GAINS}"
 
 
 def move_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,33 +180,40 @@ def move_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOVE_GAINS = _GAINS + "SELECT trajectory, ply, cell, own_gain, opponent_gain FROM g"
 
 
-def _row_arrays(df: DataFrame) -> DataFrame:
+def _row_arrays(df: DataFrame, key: list[str]) -> DataFrame:
     """A row a position: its empty cells' gains, with both best replies."""
-    by = Window.partitionBy("trajectory", "ply")
+    by = Window.partitionBy(*key)
     ranked = df.withColumn("rank", F.row_number().over(by.orderBy(F.desc("opponent_gain"), "cell")))
     first, second = F.max(F.when(F.col("rank") == 1, F.col("opponent_gain"))).over(by), F.max(F.when(F.col("rank") == 2, F.col("opponent_gain"))).over(by)
     reply = F.when((F.col("rank") == 1), second).otherwise(first)
     return ranked.withColumns({"reply": reply, "best_reply": first, "empties": F.count("*").over(by)})
 
 
+def closure_of(gained: DataFrame, boards: DataFrame, key: list[str]) -> DataFrame:
+    """Static evaluation after the best move and the best reply elsewhere; with one empty cell, after that move alone, on a full board, as it is.
+
+    ``gained`` has both gains of every empty cell, ``boards`` scores and ply of every position.
+    """
+    best = _row_arrays(gained, key).groupBy(*key).agg(F.max(F.col("own_gain") - F.col("reply")).alias("best"), F.max("own_gain").alias("only"), F.first("empties").alias("empties"))
+    base = boards.withColumn("base", B.static_evaluation(F.col("s1"), F.col("s2"), F.col("ply")))
+    more = F.when(F.col("empties") >= 2, F.col("best")).otherwise(F.col("only") - 1)
+    return base.join(best, key, "left").select(*key, "base", (F.col("base") + 2 * F.coalesce(more, F.lit(0))).cast("int").alias("closure"))
+
+
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Static evaluation after the best move and the best reply elsewhere; with one empty cell, after that move alone, on a full board, as it is."""
-    df = _row_arrays(gains(spark, sf_dir))
-    best = df.groupBy("trajectory", "ply").agg(F.max(F.col("own_gain") - F.col("reply")).alias("best"), F.max("own_gain").alias("only"), F.first("empties").alias("empties"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    base = B.with_scores(best, s1="p1", s2="p2").withColumn("base", B.static_evaluation(F.col("s1"), F.col("s2"), F.col("ply")))
-    moved = base.select("trajectory", "ply", "base", F.when(F.col("empties") >= 2, F.col("base") + 2 * F.col("best")).otherwise(F.col("base") + 2 * (F.col("only") - 1)).cast("int").alias("closure"))
-    full = B.static_evaluation(F.col("s1"), F.col("s2"), F.col("ply"))
-    return moved.unionByName(scored(spark, sf_dir).filter(f"ply = {B.CELLS}").select("trajectory", "ply", full.alias("base"), full.alias("closure")))
+    return closure_of(gains(spark, sf_dir), scored(spark, sf_dir), ["trajectory", "ply"])
 
 
-_CLOSURE = _GAINS + f""", pr AS (SELECT x.trajectory, x.ply, max(x.own_gain - y.opponent_gain_max) AS best FROM g x JOIN LATERAL (SELECT max(opponent_gain) AS opponent_gain_max FROM g z WHERE z.trajectory = x.trajectory AND z.ply = x.ply AND z.cell <> x.cell) y ON true GROUP BY 1, 2),
- b AS (SELECT DISTINCT trajectory, ply, {_EVALUATED} AS base FROM g)
-SELECT trajectory, ply, CAST(base AS INT) AS base, CAST(base + 2 * best AS INT) AS closure FROM pr JOIN b USING (trajectory, ply)"""
+CLOSURES = f"""ev AS (SELECT trajectory, ply, {_EVALUATED.replace("s1", "a.s").replace("s2", "c.s")} AS base FROM p JOIN sc a ON p.p1 = a.b JOIN sc c ON p.p2 = c.b),
+ tp AS (SELECT trajectory, ply, list_sort(list(opponent_gain), 'DESC') AS o FROM g GROUP BY 1, 2),
+ pr AS (SELECT g.trajectory, g.ply, CASE WHEN len(any_value(o)) = 1 THEN max(own_gain) - 1 ELSE max(own_gain - CASE WHEN opponent_gain = o[1] AND o[2] < o[1] THEN o[2] ELSE o[1] END) END AS best FROM g JOIN tp USING (trajectory, ply) GROUP BY 1, 2),
+ cl AS (SELECT trajectory, ply, CAST(base AS INT) AS base, CAST(base + 2 * coalesce(best, 0) AS INT) AS closure FROM ev LEFT JOIN pr USING (trajectory, ply))"""
+_CLOSURE = f"{_GAINS}, {CLOSURES} SELECT * FROM cl"
 
 
 def gain_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top gains, counts over thresholds, contested and unique best cells, and the least denial among the best moves."""
-    df = _row_arrays(gains(spark, sf_dir))
+    df = _row_arrays(gains(spark, sf_dir), ["trajectory", "ply"])
     by = Window.partitionBy("trajectory", "ply")
     margin = F.col("own_gain") - F.col("reply_value")
     best_own, n_best = F.max("own_gain").over(by), F.sum((F.col("opponent_gain") == F.col("best_reply")).cast("int")).over(by)
@@ -289,7 +297,7 @@ def successor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUCCESSORS = f"""WITH p AS ({POSITIONS_DUCK}), t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {c}, {B.transform_cell(k, c)})" for k in range(8) for c in range(49))}) v(k, f, g)),
- ch AS (SELECT trajectory, ply, CAST(m AS INT) AS move, CASE WHEN side = 0 THEN p1 | (CAST(1 AS BIGINT) << m) ELSE p1 END AS a, CASE WHEN side = 0 THEN p2 ELSE p2 | (CAST(1 AS BIGINT) << m) END AS b FROM p, range(49) r(m) WHERE ply <= 3 AND ((p1 | p2) >> m) & 1 = 0),
+ ch AS (SELECT trajectory, ply, CAST(m AS INT) AS move, CASE WHEN side = 0 THEN p1 | (CAST(1 AS BIGINT) << m) ELSE p1 END AS a, CASE WHEN side = 0 THEN p2 ELSE p2 | (CAST(1 AS BIGINT) << m) END AS b FROM p, range(49) r(m) WHERE ((p1 | p2) >> m) & 1 = 0),
  im AS (SELECT trajectory, ply, move, k, bit_or(CASE WHEN (a >> f) & 1 = 1 THEN CAST(1 AS BIGINT) << g ELSE 0 END) AS x, bit_or(CASE WHEN (b >> f) & 1 = 1 THEN CAST(1 AS BIGINT) << g ELSE 0 END) AS y FROM ch, t GROUP BY 1, 2, 3, 4),
  c AS (SELECT trajectory, ply, move, min((x, y)) AS key FROM im GROUP BY 1, 2, 3)
 SELECT trajectory, ply, min(move) AS representative, count(*) AS moves FROM c GROUP BY trajectory, ply, key"""
