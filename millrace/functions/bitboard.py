@@ -210,3 +210,64 @@ def with_gains(df: DataFrame) -> DataFrame:
     first = F.col("side") == 0
     out = staged.withColumns({"own_gain": F.when(first, one).otherwise(two), "opponent_gain": F.when(first, two).otherwise(one)})
     return out.drop("__p1n", "__p2n", "__s1", "__s2", "__s1n", "__s2n")
+
+
+def valid_move(text: Column, p1: Column, p2: Column) -> Column:
+    """Null for a legal move, else why it is none: out_of_bounds before game_over before occupied."""
+    cell, taken = parse_move(text), p1.bitwiseOR(p2)
+    return F.when(cell.isNull(), "out_of_bounds").when(F.bit_count(taken) == CELLS, "game_over").when(has(taken, F.coalesce(cell, F.lit(0))), "occupied")
+
+
+def place(p1: Column, p2: Column, side: Column, cell: Column) -> tuple[Column, Column]:
+    """Both boards after the side to move has played a cell."""
+    return F.when(side == 0, p1.bitwiseOR(bit(cell))).otherwise(p1), F.when(side == 0, p2).otherwise(p2.bitwiseOR(bit(cell)))
+
+
+def remove(board: Column, cell: Column) -> Column:
+    return board.bitwiseAND(F.bitwise_not(bit(cell)))
+
+
+def replay(moves: Column) -> Column:
+    """Boards after an array of cells from the empty board, null if a move is none, repeats or follows the end: struct of p1, p2, ply."""
+    legal = ~F.exists(moves, lambda c: c.isNull() | ~c.between(0, CELLS - 1)) & (F.size(F.array_distinct(moves)) == F.size(moves))
+    mine = (F.filter(moves, lambda c, i: i % 2 == 0), F.filter(moves, lambda c, i: i % 2 == 1))
+    side = [F.aggregate(cells, lit(0), lambda x, c: x.bitwiseOR(bit(c))) for cells in mine]
+    return F.when(legal, F.struct(side[0].alias("p1"), side[1].alias("p2"), F.size(moves).alias("ply")))
+
+
+#: Seeds of the hash of pieces and of the side to move.
+PIECE_SEED, SIDE_SEED = 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B
+
+
+def _mixed(x: int) -> int:
+    """A step of SplitMix64 from a state."""
+    top = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & top
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+    return x ^ x >> 31
+
+
+def zobrist(player: int, cell: int) -> int:
+    """Hash of a piece; a position's is the exclusive or of its pieces', and of ``zobrist_side`` if player two moves."""
+    return _mixed(PIECE_SEED ^ (player << 32 | cell))
+
+
+def zobrist_side() -> int:
+    return _mixed(SIDE_SEED)
+
+
+def with_hash(df: DataFrame, key: list[str], target: str = "hash") -> DataFrame:
+    """The key of every position with its hash, as a BIGINT bit pattern."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pieces = df.sparkSession.createDataFrame([(p, c, signed(zobrist(p, c))) for p in (0, 1) for c in range(CELLS)], "piece_player int, piece_cell int, piece long")  # 98 rows
+    placed = df.crossJoin(F.broadcast(pieces)).filter(has(F.when(F.col("piece_player") == 0, F.col("p1")).otherwise(F.col("p2")), F.col("piece_cell")))
+    hashed = placed.groupBy(*key).agg(F.bit_xor("piece").alias("x"))
+    turn = F.when(F.col("side") == 1, F.lit(signed(zobrist_side()))).otherwise(F.lit(0)).cast("long")
+    return df.join(hashed, key, "left").select(*key, F.coalesce("x", F.lit(0)).cast("long").bitwiseXOR(turn).alias(target))
+
+
+def move_orbit(stabilizer: Column, cell: Column) -> Column:
+    """Smallest cell that the symmetries of a position (bits of its stabilizer) take a cell to."""
+    moved = [F.element_at(F.array(*[F.lit(transform_cell(k, c)) for c in range(CELLS)]), cell + 1) for k in range(8)]
+    return F.least(*[F.when(F.shiftright(stabilizer, k).bitwiseAND(F.lit(1)) == 1, m).otherwise(cell) for k, m in enumerate(moved)])
