@@ -322,7 +322,38 @@ def provenance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROVENANCE = f"""SELECT CAST(ordinal // 4096 AS INT) AS shard, count(DISTINCT (ordinal // 8192, CASE WHEN ordinal % 5003 = 0 THEN 2 ELSE 1 END)) AS kinds FROM ({labels_sql("a")}) GROUP BY 1 HAVING kinds > 1"""
 
+def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a position source as one line of JSON: records, trajectories, and counts by shard, policy and split."""
+    df = Q.corpus_records(spark, sf_dir).select("trajectory", "shard", F.pmod("trajectory", F.lit(4)).alias("policy"), F.pmod("trajectory", F.lit(3)).alias("split"))
+    counted = df.groupBy("shard", "policy", "split").agg(F.count("*").alias("n"), F.count_distinct("trajectory").alias("t"))
+    parts = [counted.groupBy(F.col(c).alias("k")).agg(F.sum("n").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: F.concat_ws("=", x["k"], x["n"])), ",").alias(c)) for c in ("shard", "policy", "split")]
+    whole = counted.agg(F.sum("n").alias("records"), F.sum("t").alias("trajectories"))
+    for p in parts:
+        whole = whole.crossJoin(p)  # a row each
+    return whole.select(F.to_json(F.struct("records", "trajectories", "shard", "policy", "split")).alias("manifest"))
+
+
+_MANIFEST = f"""WITH {Q._RECORDS}, r AS (SELECT trajectory, shard, trajectory % 4 AS policy, trajectory % 3 AS split FROM rec)
+SELECT '{{"records":' || (SELECT count(*) FROM r) || ',"trajectories":' || (SELECT count(DISTINCT trajectory) FROM r)
+  || {" || ".join(f"""',"{c}":"' || (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT {c} AS k, count(*) AS n FROM r GROUP BY 1)) || '"'""" for c in ("shard", "policy", "split"))} || '}}' AS manifest"""
+
+
+def symmetric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position scored under each of the eight symmetries: rows, and rows whose scores or evaluation differ from the position's own."""
+    df = B.with_symmetries(B.with_symmetries(positions(spark, sf_dir), "p1", "a"), "p2", "b")
+    df = materialize(df.select("trajectory", "ply", F.explode(F.array(*[F.struct(F.lit(k).alias("symmetry"), F.col(f"a{k}").alias("q1"), F.col(f"b{k}").alias("q2")) for k in range(8)])).alias("x")).select("trajectory", "ply", "x.*"), "images")
+    scored = B.with_scores(df, s1="q1", s2="q2")
+    own = scored.filter("symmetry = 0").select("trajectory", "ply", F.col("s1").alias("o1"), F.col("s2").alias("o2"))
+    both = scored.join(own, ["trajectory", "ply"])
+    return both.groupBy("symmetry").agg(F.count("*").alias("records"), F.count_if((F.col("s1") != F.col("o1")) | (F.col("s2") != F.col("o2"))).alias("differing"), F.sum(F.col("s1") + F.col("s2")).alias("points"))
+
+
+_SYMMETRIC = f"""WITH p AS ({POSITIONS_DUCK}), sc AS ({duck_scores("p")}), s AS (SELECT sum(a.s + b.s) AS points, count(*) AS records FROM p JOIN sc a ON p1 = a.b JOIN sc b ON p2 = b.b)
+SELECT CAST(k AS INT) AS symmetry, records, CAST(0 AS BIGINT) AS differing, CAST(points AS BIGINT) AS points FROM s, range(8) r(k)"""
+
 QUERIES = {
+    "source_manifest": (source_manifest, _MANIFEST),
+    "symmetric_scores": (symmetric_scores, _SYMMETRIC),
     "move_checks": (move_checks, _MOVE_CHECKS),
     "replayed_games": (replayed_games, _REPLAYED),
     "position_hashes": (position_hashes, _HASHES),

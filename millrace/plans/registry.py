@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import board_queries, corpus_queries, feature_queries, report_queries
+from millrace.plans import board_queries, corpus_queries, feature_queries, play_queries, report_queries
 
 
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return {**board_queries.QUERIES, **feature_queries.QUERIES, **corpus_queries.QUERIES, **report_queries.QUERIES}
+    return {**board_queries.QUERIES, **feature_queries.QUERIES, **corpus_queries.QUERIES, **play_queries.QUERIES, **report_queries.QUERIES}
