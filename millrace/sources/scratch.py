@@ -69,8 +69,8 @@ def input_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(reduce(lambda a, b: a + b, widths))).first()[0] or 0)
 
 
-#: Rows of keys that may be broadcast.
-BROADCAST_KEYS = 500_000
+#: Rows of keys that may be broadcast, and of keys of one number each.
+BROADCAST_KEYS, BROADCAST_NUMBERS = 500_000, 2_000_000
 
 
 def join_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -78,6 +78,7 @@ def join_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
 
     The rows are counted first (of at most one more than the bound), so what is broadcast is bounded.
     """
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    most = BROADCAST_NUMBERS if [t for _, t in keys.dtypes] == ["bigint"] else BROADCAST_KEYS
+    if keys.limit(most + 1).count() <= most:
         keys = keys.hint("broadcast")
     return df.join(keys, on, how)
