@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces remembered by a worker, and the longest piece worth remembering.
-PIECES, LONG = 500_000, 64
+PIECES, LONG = 120_000, 64
 
 
 class Codec:
@@ -50,7 +50,7 @@ class Codec:
         trie.make_automaton()
         self.trie, self.size = trie, {i: len(b) for i, b in self.token.items()}
         self.shorter = {i: self._prefix(self.token[i], whole) for i in whole}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo = _Memo(self)
 
     @classmethod
@@ -81,7 +81,7 @@ class Codec:
         The merges on both sides of the border are undone from the latest to the first; the
         border goes if the two parts that touch it would have merged before the undone merge.
         """
-        key, token, split = (left, right), self.token, self.split
+        key, token, split = left << 32 | right, self.token, self.split
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -98,7 +98,7 @@ class Codec:
                 limit, right = right + 1, split[right][0]
             else:
                 break
-        if len(self.fits) >= 4 * PIECES:
+        if len(self.fits) >= 3 * PIECES:
             self.fits.clear()
         self.fits[key] = ok
         return ok
