@@ -8,7 +8,11 @@ matter they are taken from a text's bytes in whole-array steps: a running polyno
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -121,3 +125,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = len(b) - 1
     return int((b[at] == a).sum())
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system, where it can be."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -259,7 +259,9 @@ def _pairs_between(owners: DataFrame, numerator: int) -> DataFrame:
     met = x.join(y, ["key", "salt"]).filter((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("largest")) | (one < two)) & ((F.col("n") - F.col("pos")) * (100 + numerator) >= least) & ((F.col("n2") - F.col("pos2")) * (100 + numerator) >= least))
     pairs = materialize(met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct().select(F.col("x.i").alias("a"), F.col("x.h").alias("ath"), F.col("y.i").alias("b"), F.col("y.h").alias("bth")), "met")
     drop(keys, rows)
-    a, b = (owners.select(F.col("id").alias(k), F.col("th").alias(f"{k}th"), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
+    ends = pairs.select(F.col("a").alias("id"), F.col("ath").alias("th")).union(pairs.select("b", "bth")).distinct()
+    met = materialize(join_keys(owners, ends, ["id", "th"], "left_semi"), "met-owners")
+    a, b = (met.select(F.col("id").alias(k), F.col("th").alias(f"{k}th"), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
     most = F.size(F.array_intersect("pa", "pb")) + F.ceil(numerator * F.greatest("na", "nb") / 100) - 1  # shingles that the two can share
     return pairs.join(a, ["a", "ath"]).join(b, ["b", "bth"]).filter(most * (100 + numerator) >= numerator * (F.col("na") + F.col("nb"))).select("a", "ath", "b", "bth")
 
@@ -279,8 +281,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     order = spark.sparkContext.broadcast(_frequencies(source.filter(F.pmod(F.xxhash64("id"), F.lit(some)) == 0), shingle))
     base = materialize(_sets(source, shingle, numerator, order), "sets")
     filled = base.filter("n > 0 AND id IS NOT NULL")
-    least = F.min(F.struct("id", "th")).alias("r")
-    classes = materialize(filled.groupBy("lo", "hi").agg(least, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")).select("lo", "hi", "r.id", "r.th", "n", "sig", "prefix"), "classes")
+    again = base.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
+    repeated = not again.isEmpty()
+    reps = materialize(filled.groupBy("lo", "hi").agg(F.min(F.struct("id", "th")).alias("r")).select("lo", "hi", "r.id", "r.th"), "reps")
+    # only hashes are grouped; signatures and prefixes stay where they are if the representatives are few
+    classes = join_keys(filled.select("lo", "hi", "id", "th", "n", "sig", "prefix"), reps, ["lo", "hi", "id", "th"], "left_semi")
+    classes = materialize(classes.dropDuplicates(["id", "th"]) if repeated else classes, "classes")
+    drop(reps)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     trees = _forest(classes).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     pairs = materialize(_neighbours(trees, least_agreement(numerator / 100)).distinct(), "pairs")
@@ -288,7 +295,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     tested = materialize(_confirm(pairs, source, shingle, numerator), "tested")
     drop(pairs)
     # rows that share an id belong together whatever their texts
-    again = base.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
     same = filled.join(again, "id").join(classes.select("lo", "hi", F.col("id").alias("rep")), ["lo", "hi"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     while True:
         linked = tested.filter("linked")
@@ -312,7 +318,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         drop(new, more, tested, found)
         tested = whole
     # whatever link is left between components
-    owners = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "th", "n", "prefix", F.coalesce("component", "id").alias("component"))
+    owners = join_keys(classes, found.select(F.col("node").alias("id"), "component"), ["id"], "left").select("id", "th", "n", "prefix", F.coalesce("component", "id").alias("component"))
     owners = materialize(owners, "owners")
     rest = materialize(_pairs_between(owners, numerator).join(tested.select(ends), ends, "left_anti"), "pairs-between")
     if not rest.isEmpty():

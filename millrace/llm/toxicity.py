@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import ngram_hashes
+from millrace.llm._text import ngram_hashes, tidy
 
 #: Training documents, code points of theirs in all, words of the list; log-odds and share of toxic documents of a marking word.
-SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 6_000_000, 4000, 2.0, 0.02
+SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 4_000_000, 4000, 2.0, 0.02
 STEPS, RATE, L2 = 60, 0.5, 1e-3
 #: Lengths of beginnings; words remembered by a worker.
-PREFIXES, MEMO = (4, 5, 6, 7), 300_000
+PREFIXES, MEMO = (4, 5, 6, 7), 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -283,9 +283,14 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     place = {w: k + 1 for k, w in enumerate(names)}
     special = {place[w] for w in marked}
     marks = np.array([any(f in special for f in row) for row in rows])
-    has = np.zeros((len(rows), len(names) + 1))
-    for k, row in enumerate(rows):
-        has[k, list(row)] = 1
+    flat_rows = np.array([f for row in rows for f in row], np.int64)
+    row_sizes = np.array([len(row) for row in rows])
+
+    def by_feature(slots: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Sums of a gradient over the tokens that have each feature."""
+        each = np.bincount(slots, gap, len(rows))
+        return np.bincount(flat_rows, np.repeat(each, row_sizes), len(names) + 1)
+
     seqs = [x for x in ids if len(x)]
     gold = [(marks[x] & bool(t)).astype(float) for x, t in zip(ids, toxic) if len(x)]
     total = sum(len(s) for s in seqs)
@@ -295,7 +300,6 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     begins[firsts[:-1]] = True
     inner = np.flatnonzero(~begins)  # tokens with a token before
     y = np.concatenate(gold)
-    n = len(rows)
     pairs = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
@@ -308,9 +312,9 @@ def train(docs: list[tuple[str, int]]) -> Crf:
         m = crf.chain(crf.emissions(flat, inner), begins)
         gap = y - m
         grad = {
-            "own": np.bincount(flat, gap, n) @ has,
-            "before": np.bincount(flat[inner - 1], gap[inner], n) @ has,
-            "after": np.bincount(flat[inner], gap[inner - 1], n) @ has,
+            "own": by_feature(flat, gap),
+            "before": by_feature(flat[inner - 1], gap[inner]),
+            "after": by_feature(flat[inner], gap[inner - 1]),
         }
         grad["own"][0] = gap.sum()
         # expected transitions, from neighbouring marginals and their joint under the field
@@ -375,7 +379,10 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: int | None = 5) -> Crf:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((h, d, x, t) for b in batches for d, h, x, t in zip(*(c.to_pylist() for c in b.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([train([(x, t) for _, _, x, t in rows]).dump()])], names=["model"])
+        model = train([(x, t) for _, _, x, t in rows]).dump()
+        del rows
+        tidy()  # the worker goes on to other tasks
+        yield pa.RecordBatch.from_arrays([pa.array([model])], names=["model"])
 
     found = training_rows(docs, labels, held_out).repartition(1).mapInArrow(run, "model string").collect()
     return Crf.load(found[0][0]) if found else _constant([])
@@ -391,6 +398,8 @@ def scores(docs: DataFrame, model: Crf) -> DataFrame:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(crf.score(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+        del crf
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -426,5 +435,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         crf = Crf.load(shared.value)
         for b in batches:
             yield b.filter(pa.array([s < threshold for s in crf.score(b.column(at).to_pylist())], pa.bool_()))
+        del crf
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
