@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from millrace.llm._text import ngram_hashes, tidy
 
 #: Training documents, code points of theirs in all, words of the list; log-odds and share of toxic documents of a marking word.
-SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 4_000_000, 4000, 2.0, 0.02
+SAMPLE, SAMPLE_CHARS, LEXICON, LEAST_ODDS, LEAST_SHARE = 6000, 12_000_000, 4000, 2.0, 0.02
 STEPS, RATE, L2 = 60, 0.5, 1e-3
-#: Lengths of beginnings; words remembered by a worker.
-PREFIXES, MEMO = (4, 5, 6, 7), 100_000
+#: Lengths of beginnings; words remembered by a worker; tokens of a pass while training.
+PREFIXES, MEMO, CHAIN = (4, 5, 6, 7), 100_000, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -275,6 +275,7 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     toxic = [t for _, t in docs]
     words = Words([x for x, _ in docs])
     names, marked = lexicon(words, toxic)
+    words.names, words.flat = [], words.flat[:0]
     crf = Crf(names)
     slot = np.fromiter(map(crf.slots.__getitem__, words.words), np.int32, len(words.words))
     crf.refresh()
@@ -298,36 +299,40 @@ def train(docs: list[tuple[str, int]]) -> Crf:
     firsts = np.cumsum([0, *(len(s) for s in seqs)])
     begins = np.zeros(total, bool)
     begins[firsts[:-1]] = True
-    inner = np.flatnonzero(~begins)  # tokens with a token before
+    cuts = [0]  # whole documents of about CHAIN tokens go through the passes together
+    for k in [*firsts[1:-1], total]:
+        if k - cuts[-1] >= CHAIN or k == total:
+            cuts.append(int(k))
     y = np.concatenate(gold)
+    del gold, seqs
     pairs = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
-            pairs[a, b] = ((y[inner - 1] == a) & (y[inner] == b)).sum()
+            pairs[a, b] = ((y[:-1] == a) & (y[1:] == b) & ~begins[1:]).sum()
     speed = {k: np.zeros_like(getattr(crf, k)) for k in ("own", "before", "after", "trans")}
     square = {k: np.zeros_like(getattr(crf, k)) for k in speed}
     crf.own[0] = -2.0
     for step in range(1, STEPS + 1):
         crf.refresh(whole=True)
-        m = crf.chain(crf.emissions(flat, inner), begins)
-        gap = y - m
-        grad = {
-            "own": by_feature(flat, gap),
-            "before": by_feature(flat[inner - 1], gap[inner]),
-            "after": by_feature(flat[inner], gap[inner - 1]),
-        }
-        grad["own"][0] = gap.sum()
-        # expected transitions, from neighbouring marginals and their joint under the field
-        joint = _joint(crf, m, inner)
-        grad["trans"] = pairs - joint
+        grad = {k: np.zeros(len(names) + 1) for k in ("own", "before", "after")} | {"trans": pairs.copy()}
+        for a, b in zip(cuts, cuts[1:]):
+            ids_, starts = flat[a:b], begins[a:b]
+            inner = np.flatnonzero(~starts)  # tokens with a token before
+            m = crf.chain(crf.emissions(ids_, inner), starts)
+            gap = y[a:b] - m
+            bias = grad["own"][0] + gap.sum()
+            grad["own"] += by_feature(ids_, gap)
+            grad["own"][0] = bias
+            grad["before"] += by_feature(ids_[inner - 1], gap[inner])
+            grad["after"] += by_feature(ids_[inner], gap[inner - 1])
+            grad["trans"] -= _joint(crf, m, inner)  # expected transitions, from neighbouring marginals and their joint under the field
         for k, g in grad.items():
             g = g / total - L2 * getattr(crf, k) / max(1, len(docs) ** 0.5)
             speed[k] = 0.9 * speed[k] + 0.1 * g
             square[k] = 0.98 * square[k] + 0.02 * g * g
             setattr(crf, k, getattr(crf, k) + RATE * (speed[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.98**step)) + 1e-8) * min(1, 3 * (1 - step / (STEPS + 1))))
     crf.refresh(whole=True)
-    found = crf.marginals([crf.emissions(x) for x in ids])
-    x = np.array([crf.evidence(m) for m in found])
+    x = np.array([crf.evidence(m) for k in range(0, len(ids), 200) for m in crf.marginals([crf.emissions(s) for s in ids[k : k + 200]])])
     t = np.array(toxic, float)
     w = np.zeros(5)
     for _ in range(30):  # Newton steps on the penalised log-likelihood
