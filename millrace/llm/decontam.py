@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._text import Tokens, ngram_hashes, word_hashes
+from millrace.llm._text import Tokens, ngram_hashes, tidy, word_hashes
 from millrace.sources.scratch import join_keys, materialize, spare
 
 SIMILARITY, MIN_WORDS, BLOCK_BYTES = 0.8, 8, 4 << 20
@@ -284,6 +284,7 @@ def _match(docs: DataFrame, items: list[tuple[int, str]], similarity: float) ->
                 b = whole.slice(k, BATCH)
                 rows = _places(embedded, b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
+        tidy()
 
     return docs.mapInArrow(run, _MATCHES)
 

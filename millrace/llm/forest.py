@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._text import shingle_set
+from millrace.llm._text import shingle_set, tidy
 from millrace.operators.components import connected_components
 from millrace.sources.scratch import drop, join_keys, materialize, spare
 
@@ -92,6 +92,7 @@ def _sets(docs: DataFrame, shingle: int, numerator: int, order) -> DataFrame:
                 ends.append(ends[-1] + (len(first[-1]) if len(s) else 0))
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), prefix], names=["id", "th", "n", "lo", "hi", "sig", "prefix"])
+        tidy()
 
     return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, lo long, hi long, sig binary, prefix array<long>")
 
@@ -154,7 +155,9 @@ def _neighbours(sorted_rows: DataFrame, agreement: int) -> DataFrame:
             swap = (ident[i] > ident[j]) | ((ident[i] == ident[j]) & (th[i] > th[j]))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ident[i], th[i], ident[j], th[j])], names=["a", "ath", "b", "bth"])
-            kept = [x[-REACH:] for x in (tree, key, ident, th, sketch)]
+            kept = [x[-REACH:].copy() for x in (tree, key, ident, th, sketch)]
+        kept = tree = key = ident = th = sketch = None
+        tidy()
 
     return sorted_rows.mapInArrow(run, "a long, ath long, b long, bth long")
 
@@ -191,6 +194,7 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame, kernel, schema: str, payloa
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 rows = []
+        tidy()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
