@@ -140,6 +140,16 @@ def test_lm_symbol_probabilities_are_normalised():
     assert np.allclose((10.0**logs).sum(axis=1), 1, atol=1e-3)
 
 
+def test_lm_learns_from_every_cell():
+    """A cell of one triple in ten million moves the model, and the seed of a draw does not decide whether."""
+    cells, counts = np.arange(0, 3000, 7), np.full(429, 1e5)
+    extra = np.array([100 * lm.SYMBOLS**2 + 100 * lm.SYMBOLS + 100])
+    plain = lm.train(cells, counts).reshape(-1)
+    for seed in (7, 8):
+        more = lm.train(np.concatenate([cells, extra]), np.concatenate([counts, [4.0]]), seed=seed).reshape(-1)
+        assert more[extra[0]] > plain[extra[0]] + 1
+
+
 def test_html_on_unseen_pages(spark):
     rng = np.random.default_rng(99)
     pages, want = [], []
