@@ -45,12 +45,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm._text import shingle_set, tidy
 from millrace.operators.components import connected_components
-from millrace.sources.scratch import drop, join_keys, materialize, spare
+from millrace.sources.scratch import drop, join_keys, materialize, released, spare
 
 TREES, DEPTH, LEAST, REACH = 12, 8, 2, 4
 SHINGLE, NUMERATOR, HUBS = 5, 85, 3
 #: Buckets and documents of the frequencies that order shingles; results don't depend on them.
-ORDER_BITS, ORDER_DOCS = 20, 8_000
+ORDER_BITS, ORDER_DOCS = 22, 64_000
 #: Partners of a centre in one salt; rows of a shingle in one salt.
 SALT, KEY_SALT = 64, 1_000
 
@@ -222,25 +222,28 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, numerator: int) ->
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles by bucket of their hash, over some of the texts; a task makes a row a piece of the table."""
+    """Texts, of some, that have a shingle of each bucket of hashes; a task makes a row a piece of the table."""
     piece = 1 << (ORDER_BITS - 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << ORDER_BITS, np.int32)
+        total = np.zeros(1 << ORDER_BITS, np.uint16)
         for b in batches:
             for x in b.column(0):
-                np.add.at(total, (shingle_set(x.as_py(), shingle) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+                at = np.unique((shingle_set(x.as_py(), shingle) >> np.uint64(64 - ORDER_BITS)).astype(np.int64))
+                total[at] += total[at] < 0xFFFF
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(64)], pa.binary())], names=["piece", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x.as_py(), np.int32) for x in t.column("counts"))
-        return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+        counts = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in t.column("counts"))
+        return pa.table({"piece": t.column("piece")[:1], "counts": pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes()], pa.binary())})
 
     schema = "piece int, counts binary"
-    out = np.zeros((64, piece), np.int32)
-    for k, counts in texts.select("text").coalesce(8).mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect():
-        out[k] = np.frombuffer(counts, np.int32)
+    out = np.zeros((64, piece), np.uint8)  # 255 stands for more, too
+    with released(texts.sparkSession):
+        rows = texts.select("text").coalesce(8).mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect()
+    for k, counts in rows:
+        out[k] = np.frombuffer(counts, np.uint8)
     return out.ravel()
 
 
@@ -270,6 +273,11 @@ def _pairs_between(owners: DataFrame, numerator: int) -> DataFrame:
     return pairs.join(a, ["a", "ath"]).join(b, ["b", "bth"]).filter(most * (100 + numerator) >= numerator * (F.col("na") + F.col("nb"))).select("a", "ath", "b", "bth")
 
 
+def _filled(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id and a set, and the ids of several rows."""
+    return base.filter("n > 0 AND id IS NOT NULL"), base.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR) -> DataFrame:
     """The near-duplicate class of every row: doc_id, n_shingles, component_id, kept.
 
@@ -284,14 +292,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     some = -(-source.count() // ORDER_DOCS) or 1
     order = spark.sparkContext.broadcast(_frequencies(source.filter(F.pmod(F.xxhash64("id"), F.lit(some)) == 0), shingle))
     base = materialize(_sets(source, shingle, numerator, order), "sets")
-    filled = base.filter("n > 0 AND id IS NOT NULL")
-    again = base.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
+    filled, again = _filled(base)
     repeated = not again.isEmpty()
     reps = materialize(filled.groupBy("lo", "hi").agg(F.min(F.struct("id", "th")).alias("r")).select("lo", "hi", "r.id", "r.th"), "reps")
     # only hashes are grouped; signatures and prefixes stay where they are if the representatives are few
     classes = join_keys(filled.select("lo", "hi", "id", "th", "n", "sig", "prefix"), reps, ["lo", "hi", "id", "th"], "left_semi")
     classes = materialize(classes.dropDuplicates(["id", "th"]) if repeated else classes, "classes")
-    drop(reps)
+    # signatures and prefixes of others are not asked for again
+    whole, base = base, materialize(base.select("id", "n", "lo", "hi"), "members")
+    filled, again = _filled(base)
+    drop(reps, whole)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     trees = _forest(classes).repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     pairs = materialize(_neighbours(trees, least_agreement(numerator / 100)).distinct(), "pairs")
@@ -322,8 +332,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         drop(new, more, tested, found)
         tested = whole
     # whatever link is left between components
-    owners = join_keys(classes, found.select(F.col("node").alias("id"), "component"), ["id"], "left").select("id", "th", "n", "prefix", F.coalesce("component", "id").alias("component"))
+    owners = join_keys(classes, found.select(F.col("node").alias("id"), "component"), ["id"], "left").select("lo", "hi", "id", "th", "n", "prefix", F.coalesce("component", "id").alias("component"))
     owners = materialize(owners, "owners")
+    drop(classes)
     rest = materialize(_pairs_between(owners, numerator).join(tested.select(ends), ends, "left_anti"), "pairs-between")
     if not rest.isEmpty():
         last = materialize(_confirm(rest, source, shingle, numerator).filter("linked"), "tested")
@@ -331,12 +342,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             drop(found)
             found = materialize(connected_components(tested.filter("linked").unionByName(last).select("a", "b").union(same)), "components")
         drop(last)
-    reps = classes.select("lo", "hi", F.col("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component"))
+    reps = owners.select("lo", "hi", F.col("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n", "lo", "hi").join(reps, ["lo", "hi"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     result = materialize(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "near-duplicates")
-    drop(base, classes, owners, rest, tested, found)
+    drop(base, owners, rest, tested, found)
     return result
 
 

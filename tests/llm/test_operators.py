@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -534,3 +535,16 @@ def test_empty_tables(spark, table):
         sharding.shuffle_into_shards(none.select("doc_id", "text")), forest.near_duplicates(none), forest.drop_near_duplicates(none), bpe.encode_column(none, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     ]
     assert [o.count() for o in outs] == [0] * len(outs)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from millrace.sources.scratch import materialize
+
+    def files() -> set[str]:
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = files()
+    kept = materialize(spark.range(1000).repartition(4, "id"), "few")
+    left = files() - before
+    assert not left and kept.count() == 1000
