@@ -15,9 +15,9 @@ first ones of the pieces join once more.  Each pair of documents is verified on
 stretch is widened to the longest common run of words, which must have LEAST words; two lines
 must reach the threshold in exact Jaccard similarity.  Verified passages are clustered by
 connected components; the first of each stays, and every span that repeats an earlier document
-is removed.  A line whose partner is neither the first of a band they share nor next before it
-is passed over in that band; a band's ROWS keep lines that are not alike apart, so this is rare
-(README has the measured recall among lines of one template).
+is removed.  What bands leave apart among lines is found without loss by prefixes of their sets,
+as in ``forest``: lines of equal sets are one class, and pairs of classes that no verified link
+has joined, or whose later one repeats no line yet, are verified when their prefixes meet.
 
 Cases: null and short texts have no passage; equal documents repeat wholly; repeats within
 one document are none; rows with one id are told apart by the hash of their text, and equal
@@ -31,22 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm._text import Tokens, mix, ngram_hashes, overlap, tidy
-from millrace.llm.forest import compare_pairs
+from millrace.llm.forest import ORDER_BITS, ORDER_DOCS, _frequencies, _pairs_between, compare_pairs
 from millrace.operators.components import connected_components
 from millrace.sources.scratch import BROADCAST_KEYS, drop, join_keys, materialize, spare
 
 #: Words of the shortest common run, which is the shingle of stretches and the shortest line too; window of minima
 #: (runs of LEAST + WINDOW - 1 = 49 words are always found).
 LEAST, WINDOW = 26, 24
-SHINGLE, THRESHOLD, ROWS, RECALL = 5, 0.8, 3, 0.999
+SHINGLE, NUMERATOR, ROWS, RECALL = 5, 80, 3, 0.98
 
 
-def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
+def bands_for(threshold: float = NUMERATOR / 100, rows: int = ROWS, recall: float = RECALL) -> int:
     """The fewest bands that find a pair at the threshold with the wanted probability."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
@@ -96,12 +97,21 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row a band of a paragraph: key, document, first word, whether it is a line."""
+def _class(shingles: np.ndarray) -> int:
+    """Hash (int64) of a sorted set of shingles."""
+    return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "little", signed=True)
+
+
+def _occurrences(docs: DataFrame, order) -> DataFrame:
+    """A row a band of a paragraph: key, document, first word, whether it is a line.
+
+    A line has one more row, whose key is the hash of its set, with the set's size and prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = order.value
         for b in batches:
-            keys, rows, starts, lines = [], [], [], []
+            keys, rows, starts, lines, sizes, prefixes = [], [], [], [], [], []
             for k, x in enumerate(b.column(2)):
                 t = Tokens(x.as_py())
                 if len(t) < LEAST:
@@ -111,19 +121,25 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 starts.append(at)
                 lines.append(np.zeros(len(at), bool))
                 n = len(at)
+                sizes += [None] * n
+                prefixes += [None] * n
                 for start, size in zip(*t.lines()):
                     if size >= LEAST:
-                        keys.append(bands(ngram_hashes(t.hashes[start : start + size], SHINGLE)))
-                        starts.append(np.full(BANDS, start))
-                        lines.append(np.ones(BANDS, bool))
-                        n += BANDS
+                        s = np.unique(ngram_hashes(t.hashes[start : start + size], SHINGLE))
+                        keys += [bands(s), np.array([_class(s)]).view(np.uint64)]
+                        starts.append(np.full(BANDS + 1, start))
+                        lines.append(np.ones(BANDS + 1, bool))
+                        n += BANDS + 1
+                        usual = np.argsort(counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], kind="stable")
+                        sizes += [None] * BANDS + [len(s)]
+                        prefixes += [None] * BANDS + [s[usual[: len(s) + 1 + -NUMERATOR * len(s) // 100]].view(np.int64)]
                 rows.append(np.full(n, k))
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lines))], names=["key", "id", "th", "pos", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lines)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["key", "id", "th", "pos", "line", "n", "prefix"])
         tidy()
 
-    return docs.select("id", "th", "text").mapInArrow(run, "key long, id long, th long, pos int, line boolean")
+    return docs.select("id", "th", "text").mapInArrow(run, "key long, id long, th long, pos int, line boolean, n int, prefix array<long>")
 
 
 _ORDER = ["line", "key", "id", "th", "pos"]
@@ -176,7 +192,7 @@ def _kernel(text: str):
     def compare(a, ath, b, bth, other, anchors):
         partner = Tokens(other)
         two = partner.hashes
-        found, seen, theirs = [], {}, None
+        found, seen, theirs, alike = [], {}, None, set()
         if any(x["line"] for x in anchors):
             theirs = dict(zip(*(x.tolist() for x in partner.lines())))
         for x in sorted(anchors, key=lambda x: (not x["line"], x["bpos"], x["apos"])):
@@ -185,8 +201,9 @@ def _kernel(text: str):
                 n, m = own.get(p, 0), theirs.get(q, 0)
                 s, t = (np.unique(ngram_hashes(h[k : k + w], SHINGLE)) for h, k, w in ((one, p, n), (two, q, m)))
                 both = overlap(s, t)
-                if both and both >= THRESHOLD * (len(s) + len(t) - both):
+                if both and 100 * both >= NUMERATOR * (len(s) + len(t) - both):
                     found.append((q, q + m, p, p + n))
+                    alike.add((_class(s), _class(t)))
                 continue
             if seen.get(p - q, -1) > q:
                 continue
@@ -208,12 +225,13 @@ def _kernel(text: str):
                 out[-1] = (out[-1][0], max(r, out[-1][1]), min(p, out[-1][2]), max(s, out[-1][3]))
             else:
                 out.append((q, r, p, s))
-        return [{"b": b, "bth": bth, "from": q, "to": r, "start": int(first[q]), "end": int(last[r - 1]), "a": a, "ath": ath, "afrom": p, "ato": s} for q, r, p, s in out]
+        alike = [{"x": x, "y": y} for x, y in alike if x != y]
+        return [{"b": b, "bth": bth, "from": q, "to": r, "start": int(first[q]), "end": int(last[r - 1]), "a": a, "ath": ath, "afrom": p, "ato": s, "alike": [] if k else alike} for k, (q, r, p, s) in enumerate(out)]
 
     return compare
 
 
-_SPANS = "b long, bth long, `from` int, `to` int, start int, end int, a long, ath long, afrom int, ato int"
+_SPANS = "b long, bth long, `from` int, `to` int, start int, end int, a long, ath long, afrom int, ato int, alike array<struct<x: long, y: long>>"
 
 
 def verified_repeats(source: DataFrame) -> DataFrame:
@@ -221,8 +239,11 @@ def verified_repeats(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
     source = source.filter("id IS NOT NULL")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    occurrences = materialize(_occurrences(source), "bands")
+    some = -(-source.count() // ORDER_DOCS) or 1
+    order = spark.sparkContext.broadcast(_frequencies(source.filter(F.pmod(F.xxhash64("id"), F.lit(some)) == 0), SHINGLE))
+    occurrences = materialize(_occurrences(source, order), "bands")
     stars = materialize(_stars(occurrences.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)), "stars")
+    lines = materialize(occurrences.filter("prefix IS NOT NULL").select("key", "id", "th", "pos", "n", "prefix"), "lines")
     drop(occurrences)
     # a key that is split over tasks has a head in each; the later ones join the first
     heads = stars.filter("head").select("line", "key", F.struct("b", "bth", "bpos").alias("h"))
@@ -233,7 +254,54 @@ def verified_repeats(source: DataFrame) -> DataFrame:
     drop(stars)
     spans = materialize(compare_pairs(pairs, source, _kernel, _SPANS, payload="anchors"), "spans")
     drop(pairs)
-    return spans
+    rest = materialize(_rest(lines, spans), "pairs")
+    if not rest.isEmpty():
+        more = materialize(compare_pairs(rest, source, _kernel, _SPANS, payload="anchors"), "spans")
+        whole = materialize(spans.unionByName(more), "spans")
+        drop(spans, more)
+        spans = whole
+    drop(lines, rest)
+    return spans.drop("alike")
+
+
+def _rest(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of documents with lines that may be alike and that bands left apart; none that is alike is left out.
+
+    Lines of equal sets are one class, whose first line the others repeat.  A class whose first line repeats no line
+    of another class stands alone; any other stands with its component.  Pairs of classes that stand apart come from
+    prefixes.
+    """
+    first = lines.groupBy("key").agg(F.min(F.struct("id", "th", "pos")).alias("r")).select("key", "r.id", "r.th", "r.pos")
+    sets = materialize(lines.join(first, ["key", "id", "th", "pos"], "left_semi"), "classes")
+    sets = sets.dropDuplicates(["key"])
+    first = sets.select("key", F.col("id").alias("rid"), F.col("th").alias("rth"))
+    held = lines.select("key", "id", "th", "pos").join(first, "key")
+    own = held.filter("id = rid AND th = rth").groupBy("key").agg(F.count_distinct("pos").alias("times"))
+    other = held.filter("id <> rid OR th <> rth").groupBy("key").agg(F.min(F.struct("id", "th", "pos")).alias("other"))
+    met = materialize(spans.select("b", "bth", F.inline("alike")).distinct(), "alike")
+    # of a class that its first document has several times each line is looked at
+    late = met.join(first.join(own.filter("times = 1"), "key").select(F.col("key").alias("y"), F.col("rid").alias("b"), F.col("rth").alias("bth")), ["y", "b", "bth"], "left_semi")
+    late = materialize(late.select("x", "y").distinct(), "late")
+    found = materialize(connected_components(met, "x", "y"), "components")
+    stands = found.withColumnRenamed("node", "key").join(late.select(F.col("y").alias("key")).distinct(), "key", "left_semi")
+    owners = sets.select(F.col("key"), "n", "prefix").join(stands, "key", "left")
+    # a component's name may be that of a class that stands alone
+    name = F.when(F.col("component").isNull(), F.col("key")).otherwise(F.xxhash64("component", F.lit("component")))
+    owners = materialize(owners.select(F.col("key").alias("id"), F.lit(0).cast("long").alias("th"), F.col("n").cast("long").alias("n"), "prefix", name.alias("component")), "owners")
+    known = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    apart = materialize(_pairs_between(owners, NUMERATOR).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "apart")
+    whole = sets.select("key", F.struct("id", "th", "pos").alias("first")).join(other, "key", "left")
+    one, two = (whole.select(F.col("key").alias(k), F.struct("first", "other", F.lit(k).alias("k"), F.col("key").alias("key")).alias(f"c{k}")) for k in "ab")
+    both = apart.join(one, "a").join(two, "b").select(F.when(F.col("ca.first") <= F.col("cb.first"), F.col("ca")).otherwise(F.col("cb")).alias("x"), F.when(F.col("ca.first") <= F.col("cb.first"), F.col("cb")).otherwise(F.col("ca")).alias("y"))
+    both = materialize(both.select(F.col("x.first").alias("x"), F.col("x.other").alias("xo"), F.col("y.first").alias("y"), F.col("y.other").alias("yo"), F.col("y.key").alias("key")), "both")
+    same = (F.col("x.id") == F.col("y.id")) & (F.col("x.th") == F.col("y.th"))
+    places = lines.select("key", "id", "th", "pos").join(both.select("key").distinct(), "key", "left_semi").distinct()
+    far = both.filter(~same).join(places, "key").filter("id = y.id AND th = y.th").select("x", F.struct("id", "th", "pos").alias("y"))
+    near = both.filter(same)
+    ends = far.union(near.filter("yo IS NOT NULL").select("x", "yo")).union(near.filter("xo IS NOT NULL").select("y", "xo"))
+    anchors = F.collect_set(F.struct(F.lit(True).alias("line"), F.col("x.pos").alias("apos"), F.col("y.pos").alias("bpos"))).alias("anchors")
+    out = ends.groupBy(F.col("x.id").alias("a"), F.col("x.th").alias("ath"), F.col("y.id").alias("b"), F.col("y.th").alias("bth")).agg(anchors)
+    return out
 
 
 def _islands(spans: DataFrame) -> DataFrame:

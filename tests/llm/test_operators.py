@@ -537,6 +537,44 @@ def test_empty_tables(spark, table):
     assert [o.count() for o in outs] == [0] * len(outs)
 
 
+def lines_of_one_template(n: int) -> list[str]:
+    """Documents of a line each, and some of two: a tree of edited copies, so many of a band are not alike."""
+    rng, fresh, lines, out = random.Random(5), iter(range(10**6)), [[f"t{k}" for k in range(60)]], []
+    for k in range(n):
+        ws = list(rng.choice(lines[-200:]))
+        ws[rng.choice([0, 1, 2, 57, 58, 59, rng.randrange(60)])] = f"x{next(fresh)}"
+        lines.append(ws)
+        out.append("\n".join(" ".join(x) for x in ([ws] if k % 9 else [ws, rng.choice(lines)])))
+    return out
+
+
+def test_substring_finds_every_line_that_is_alike(spark):
+    """Removed lines and clusters against all pairs."""
+    texts = lines_of_one_template(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = substring.verified_repeats(df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")).collect()
+    assert missed_lines(texts, [(r.a, r.b, r["from"], r.to) for r in rows]) == (0, 0)
+
+
+def missed_lines(texts: list[str], spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
+    """Lines with a partner in an earlier document that no line span has, and pairs of documents that no path of spans joins."""
+    lines = [[x.split() for x in t.split("\n")] for t in texts]
+    sets = [[{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in x] for x in lines]
+    root = list(range(len(texts)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    whole = set()
+    for a, b, start, end in spans:
+        root[find(b)] = find(a)
+        whole |= {(b, l) for l in range(len(lines[b])) if start <= 60 * l and 60 * l + 60 <= end}
+    alike = [(j, k, l) for k in range(len(texts)) for j in range(k) for l, x in enumerate(sets[k]) for y in sets[j] if 5 * len(x & y) >= 4 * len(x | y)]
+    return len({(k, l) for _, k, l in alike} - whole), sum(find(j) != find(k) for j, k, _ in alike)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from millrace.sources.scratch import materialize
 
