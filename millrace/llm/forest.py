@@ -310,6 +310,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     drop(pairs)
     # rows that share an id belong together whatever their texts
     same = filled.join(again, "id").join(classes.select("lo", "hi", F.col("id").alias("rep")), ["lo", "hi"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same = materialize(same, "same")  # asked for after the classes are gone
     while True:
         linked = tested.filter("linked")
         found = materialize(connected_components(linked.select("a", "b").union(same)), "components")
@@ -347,7 +348,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     result = materialize(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "near-duplicates")
-    drop(base, owners, rest, tested, found)
+    drop(base, owners, rest, tested, found, same)
     return result
 
 

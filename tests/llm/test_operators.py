@@ -502,6 +502,18 @@ def test_forest_with_more_partitions_than_classes(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 4
 
 
+def test_forest_links_that_prefixes_alone_find(spark, monkeypatch):
+    """With no neighbours of a tree every link is one of the last search, also among rows that share an id."""
+    rng = random.Random(43)
+    centre = some(rng, 200).split()
+    rows = [(k, " ".join([*centre[: 40 * k + 9], f"w{k}", *centre[40 * k + 10 :]])) for k in range(4)]
+    rows += [(3, some(rng, 90)), (7, some(rng, 90))]
+    rows += [(8, rows[4][1]), (9, None)]
+    monkeypatch.setattr(forest, "_neighbours", lambda trees, agreement: spark.createDataFrame([], "a long, ath long, b long, bth long"))
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 0), (7, 7), (8, 0), (9, 9)} and len(got) == len(rows)
+
+
 def test_columns_of_our_own_names(spark):
     """Columns that are named like those the operators work with come back as they were."""
     rng = random.Random(3)
