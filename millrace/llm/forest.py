@@ -167,7 +167,8 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame, kernel, schema: str, payloa
 
     ``docs`` has id, th and text.  Only texts of pairs move.  The stream of a partition is sorted
     by centre: the centre's text, then its partners, so one centre and one partner are in memory.
-    ``kernel`` makes, from the centre's text, a function of (a, b, text of b, payload) giving a row.
+    ``kernel`` makes, from the centre's text, a function of (a, b, text of b, payload) giving rows; a
+    payload is a list, given as an Arrow array.
     """
     spark = pairs.sparkSession
     extra = [payload] * bool(payload)
@@ -190,7 +191,7 @@ def compare_pairs(pairs: DataFrame, docs: DataFrame, kernel, schema: str, payloa
                 if kind[k] == 0:
                     compare = kernel(text.as_py() or "")
                 else:
-                    rows.extend(compare(a[k], ath[k], b[k], bth[k], text.as_py() or "", cols[payload][k].as_py() if payload else None))
+                    rows.extend(compare(a[k], ath[k], b[k], bth[k], text.as_py() or "", cols[payload][k].values if payload else None))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 rows = []

@@ -66,9 +66,8 @@ def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(out[: len(out) - (n - w)], out[n - w :]) if w < n else out
 
 
-def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def winnow(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of the window minima of the LEAST-word hashes."""
-    g = ngram_hashes(h, LEAST)
     if not len(g):
         return np.empty(0, np.int64), g
     n = min(WINDOW, len(g))
@@ -81,19 +80,16 @@ def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """Band keys (uint64) of a set of shingles."""
+def bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band keys (uint64), a row a set: the shingles of one set after another, and where each starts."""
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    sig = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(low), 512):
-        x = low[k : k + 512, None] * _A
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        np.minimum(sig, x.min(axis=0), out=sig)
-    s = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(starts), 1))
     for k in range(ROWS):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + s[:, k])
+        for band in range(BANDS):
+            x = low * _A[band * ROWS + k]
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            out[:, band] = mix(out[:, band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
     return out
 
 
@@ -102,6 +98,33 @@ def _class(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(shingles.tobytes()), "little", signed=True)
 
 
+def _line_sets(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of LEAST words or more: bands, classes and sizes of their sets, prefixes one after another, ends of prefixes.
+
+    The lines are taken in whole-array steps; ``hashes`` are of the words of the texts that have them.
+    """
+    n = sizes - SHINGLE + 1  # shingles of a line, and where its first is among those of all lines
+    at = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(n)), n)
+    g = ngram_hashes(hashes, SHINGLE)[np.arange(len(line)) + (starts - at)[line]]
+    keys = bands(g, at)
+    by = np.lexsort((g, line))
+    g = g[by]  # a line's places are the same, in the order of its hashes
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (line[1:] != line[:-1])
+    s, line = g[first], line[first]
+    n = np.bincount(line, minlength=len(n))
+    at = np.cumsum(n) - n
+    classes = np.array([_class(s[k : k + m]) for k, m in zip(at.tolist(), n.tolist())], np.int64)
+    s = s[np.lexsort((counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], line))]
+    few = n + 1 + -NUMERATOR * n // 100
+    return keys, classes, n, s[np.arange(len(s)) - at[line] < few[line]].view(np.int64), np.cumsum(few)
+
+
+#: Words of texts that are taken at once.
+_AT_ONCE = 8_000
+
+
 def _occurrences(docs: DataFrame, order) -> DataFrame:
     """A row a band of a paragraph: key, document, first word, whether it is a line.
 
@@ -111,32 +134,48 @@ def _occurrences(docs: DataFrame, order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for b in batches:
-            keys, rows, starts, lines, sizes, prefixes = [], [], [], [], [], []
+            parts, held, size = [], [], 0
+
+            def flush() -> None:
+                words = np.concatenate([h for _, h, _, _ in held])
+                runs, at = ngram_hashes(words, LEAST), np.cumsum([0, *(len(h) for _, h, _, _ in held)])
+                for start, (k, h, _, _) in zip(at.tolist(), held):
+                    place, value = winnow(runs[start : start + len(h) - LEAST + 1])
+                    parts.append((np.full(len(place), k), value.view(np.int64), place, False, None))
+                row, first = (np.concatenate([np.full(len(x), k) for k, _, x, _ in held]), np.concatenate([x for _, _, x, _ in held]))
+                long = np.concatenate([x for *_, x in held])
+                if len(long):
+                    keys, classes, n, prefix, ends = _line_sets(words, first + np.repeat(at[:-1], [len(x) for _, _, x, _ in held]), long, counts)
+                    parts.append((np.repeat(row, BANDS), keys.ravel().view(np.int64), np.repeat(first, BANDS), True, None))
+                    parts.append((row, classes, first, True, (n, prefix, ends)))
+
             for k, x in enumerate(b.column(2)):
                 t = Tokens(x.as_py())
                 if len(t) < LEAST:
                     continue
-                at, value = winnow(t.hashes)
-                keys.append(value)
-                starts.append(at)
-                lines.append(np.zeros(len(at), bool))
-                n = len(at)
-                sizes += [None] * n
-                prefixes += [None] * n
-                for start, size in zip(*t.lines()):
-                    if size >= LEAST:
-                        s = np.unique(ngram_hashes(t.hashes[start : start + size], SHINGLE))
-                        keys += [bands(s), np.array([_class(s)]).view(np.uint64)]
-                        starts.append(np.full(BANDS + 1, start))
-                        lines.append(np.ones(BANDS + 1, bool))
-                        n += BANDS + 1
-                        usual = np.argsort(counts[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], kind="stable")
-                        sizes += [None] * BANDS + [len(s)]
-                        prefixes += [None] * BANDS + [s[usual[: len(s) + 1 + -NUMERATOR * len(s) // 100]].view(np.int64)]
-                rows.append(np.full(n, k))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lines)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["key", "id", "th", "pos", "line", "n", "prefix"])
+                start, long = t.lines()
+                held.append((k, t.hashes, start[long >= LEAST], long[long >= LEAST]))
+                size += len(t)
+                if size >= _AT_ONCE:
+                    flush()
+                    held, size = [], 0
+            if held:
+                flush()
+            if parts:
+                row, key, pos = (np.concatenate([p[c] for p in parts]) for c in range(3))
+                line = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+                sizes, few = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
+                has, prefix, done = np.zeros(len(row), bool), [np.empty(0, np.int64)], 0
+                for of, *_, p in parts:
+                    m = len(of)
+                    if p:
+                        has[done : done + m], sizes[done : done + m] = True, p[0]
+                        few[done : done + m] = np.diff(p[2], prepend=0)
+                        prefix.append(p[1])
+                    done += m
+                ends = np.concatenate([[0], np.cumsum(few)]).astype(np.int32)
+                prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)), mask=pa.array(~has))
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(line), pa.array(sizes, mask=~has), prefixes], names=["key", "id", "th", "pos", "line", "n", "prefix"])
         tidy()
 
     return docs.select("id", "th", "text").mapInArrow(run, "key long, id long, th long, pos int, line boolean, n int, prefix array<long>")
@@ -192,13 +231,16 @@ def _kernel(text: str):
     def compare(a, ath, b, bth, other, anchors):
         partner = Tokens(other)
         two = partner.hashes
-        found, seen, theirs, alike = [], {}, None, set()
-        if any(x["line"] for x in anchors):
-            theirs = dict(zip(*(x.tolist() for x in partner.lines())))
-        for x in sorted(anchors, key=lambda x: (not x["line"], x["bpos"], x["apos"])):
-            p, q = x["apos"], x["bpos"]
-            if x["line"]:
+        found, seen, alike = [], {}, set()
+        line, apos, bpos = (anchors.field(c).to_numpy(zero_copy_only=False) for c in ("line", "apos", "bpos"))
+        theirs = dict(zip(*(x.tolist() for x in partner.lines()))) if line.any() else None
+        by = np.lexsort((apos, bpos, ~line))
+        for is_line, p, q in zip(line[by].tolist(), apos[by].tolist(), bpos[by].tolist()):
+            if is_line:
                 n, m = own.get(p, 0), theirs.get(q, 0)
+                if n == m and n >= SHINGLE and np.array_equal(one[p : p + n], two[q : q + n]):
+                    found.append((q, q + m, p, p + n))
+                    continue
                 s, t = (np.unique(ngram_hashes(h[k : k + w], SHINGLE)) for h, k, w in ((one, p, n), (two, q, m)))
                 both = overlap(s, t)
                 if both and 100 * both >= NUMERATOR * (len(s) + len(t) - both):

@@ -587,6 +587,26 @@ def missed_lines(texts: list[str], spans: list[tuple[int, int, int, int]]) -> tu
     return len({(k, l) for _, k, l in alike} - whole), sum(find(j) != find(k) for j, k, _ in alike)
 
 
+def test_sets_of_lines_at_once_are_those_of_each_line():
+    """Bands, classes, sizes and prefixes of many lines in whole-array steps, against a loop."""
+    rng = np.random.default_rng(47)
+    counts = rng.integers(0, 4, 1 << forest.ORDER_BITS).astype(np.uint8)
+    sizes = np.array([26, 400, 27, 26, 60, 1000])
+    hashes = rng.integers(0, 1 << 63, sizes.sum() + 10, dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes + 5  # words before, between the second and third, and after belong to no line
+    starts[2:] += 3
+    hashes[starts[1] : starts[1] + 400] = np.tile(hashes[starts[1] : starts[1] + 50], 8)  # a line that repeats itself
+    hashes[starts[3] : starts[3] + 26] = hashes[starts[0] : starts[0] + 26]
+    keys, classes, n, prefix, ends = substring._line_sets(hashes, starts, sizes, counts)
+    for k, (start, size) in enumerate(zip(starts, sizes)):
+        s = np.unique(substring.ngram_hashes(hashes[start : start + size], substring.SHINGLE))
+        by = np.argsort(counts[(s >> np.uint64(64 - forest.ORDER_BITS)).astype(np.int64)], kind="stable")
+        want = s[by[: len(s) - math.ceil(0.8 * len(s)) + 1]].view(np.int64)
+        assert n[k] == len(s) and classes[k] == substring._class(s) and prefix[ends[k] - len(want) : ends[k]].tolist() == want.tolist()
+        assert (keys[k] == substring.bands(s, np.array([0]))[0]).all()
+    assert len(prefix) == ends[-1] and (keys[3] == keys[0]).all() and n[1] == 50
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from millrace.sources.scratch import materialize
 
